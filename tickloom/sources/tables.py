@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import running_sum
+from tickloom.operators.ordered import running_sum, with_history
 
 TICK_KEY = ["symbol"]
 TICK_ORDER = ["ts", "uid"]
@@ -43,6 +43,7 @@ def ticks_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((100000 + F.col("moved")) / 100.0).alias("price"),
         (F.floor("value") + 1).cast("double").alias("volume"),
         "k",
+        (100000 + F.col("moved")).alias("cents"),
     )
 
 
@@ -97,3 +98,19 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     absent = spark.createDataFrame([("absent",)], "symbol string")
     listed = names.unionByName(absent).agg(F.sort_array(F.collect_list("symbol")).alias("names"))
     return listed.select(F.posexplode("names").alias("rank", "symbol")).select("symbol", "rank")
+
+
+def signals_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule-based signals on the walk: ``symbol, ts, uid, close, signal, conf``.
+
+    The signal is the sign of the price against its 20-row mean, compared as whole cents;
+    the confidence runs from 0.45 to 0.945.
+    """
+
+    def compute(df: DataFrame, keys: list[str]) -> DataFrame:
+        window = Window.partitionBy(*keys).orderBy(*TICK_ORDER).rowsBetween(-19, 0)
+        lean = F.signum(20 * F.col("cents") - F.sum("cents").over(window)).cast("int")
+        return df.withColumn("signal", F.when(F.count("cents").over(window) >= 20, lean).otherwise(0))
+
+    signalled = with_history(bars_walk(spark, sf_dir), TICK_KEY, TICK_ORDER, 20, compute)
+    return signalled.select("symbol", "ts", "uid", "close", "signal", ((90 + F.col("k")) / 200.0).alias("conf"))
