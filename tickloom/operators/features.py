@@ -291,6 +291,18 @@ def generate_features(
     return with_history(bars, KEYS, ORDER, max(DECAY_ROWS, len(weights)), compute)
 
 
+# Columns of a feature frame that are not features.
+NOT_FEATURES = [
+    "timestamp", "bar_start", "bar_end", "open", "high", "low", "close", "volume", "vwap", "regime", "sq_ret",
+]
+ROW_COLUMNS = ["symbol", "ts", "uid", "pct_change"]
+
+
+def feature_columns(features: DataFrame) -> list[str]:
+    """Feature columns of a frame: all but prices, times and row keys."""
+    return [c for c in features.columns if c not in NOT_FEATURES and c not in ROW_COLUMNS]
+
+
 def clean_features(features: DataFrame, columns: Sequence[str] = tuple(FEATURES)) -> DataFrame:
     """Infinities become null, columns null in every row go, rows with any null go.
 

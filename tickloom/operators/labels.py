@@ -261,3 +261,9 @@ def triple_barrier_labels(
         pt_price.alias("profit_taking_price"),
         sl_price.alias("stop_loss_price"),
     )
+
+
+def features_at_events(labels: DataFrame, features: DataFrame) -> DataFrame:
+    """Labels with the feature row of their start; events without features drop out."""
+    start = features.withColumnRenamed("ts", "t0")
+    return labels.join(start, ["symbol", "t0"])

@@ -1,6 +1,6 @@
 from importlib import import_module
 
-GROUPS = ["market_data"]
+GROUPS = ["market_data", "research"]
 
 
 def load_all() -> None:
