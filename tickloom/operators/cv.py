@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import numbered
+from tickloom.operators.ordered import is_cut, numbered, split
+from tickloom.session import reliable
 
 N_FOLDS = 5
 EMBARGO = 0.01
@@ -16,8 +17,12 @@ TEST_SHARE = 0.20
 
 def _sized(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``pos`` (1-based) and ``n`` per key."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return numbered(df, keys, order, "pos").join(sizes, list(keys))
+    cut = split(df, keys, order)
+    placed = numbered(cut, keys, order, "pos")
+    if not is_cut(cut):
+        return placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return placed.join(sizes, list(keys)).select(*df.columns, "pos", "n")
 
 
 def time_split(
@@ -54,7 +59,8 @@ def purged_folds(
     after the last sample starting before the test labels end.
     """
     placed = _sized(samples.select(key, "t0", "t1"), [key], ["t0"])
-    placed = placed.withColumn("own_fold", fold_of(F.col("pos"), F.col("n"), k))
+    # Read three times below: written once, so that the labels are not made three times.
+    placed = reliable(placed.withColumn("own_fold", fold_of(F.col("pos"), F.col("n"), k)))
     edges = placed.groupBy(key, F.col("own_fold").alias("fold")).agg(
         F.min("t0").alias("test_start"), F.max("t1").alias("test_end")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tickloom.functions.clean import finite
 from tickloom.operators.ordered import with_history
+from tickloom.session import reliable
 
 KEYS = ["symbol"]
 ORDER = ["ts", "uid"]
@@ -94,12 +95,31 @@ def add_imbalance(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _stacked(column: str, rows: int, times: int, keys: list[str]) -> Column:
+    """Sum of ``times`` neighbouring ``rows``-row sums: a long frame from a few lags.
+
+    Spark adds up a sliding frame afresh for every row, so 200 rows cost 200 additions;
+    stacking 10-row sums costs 19.  Null as soon as a part is null.
+    """
+    window = Window.partitionBy(*keys).orderBy(*ORDER)
+    parts = [F.col(column), *(F.lag(column, rows * i).over(window) for i in range(1, times))]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    return total
+
+
 def add_trend(df: DataFrame, keys: list[str]) -> DataFrame:
-    fast, slow = _rolling(keys, ORDER, FAST_WINDOW), _rolling(keys, ORDER, SLOW_WINDOW)
+    base = 10
+    window = _rolling(keys, ORDER, base)
     return (
-        df.withColumn("ma_fast", _full(F.avg, "close", fast, FAST_WINDOW))
-        .withColumn("ma_slow", _full(F.avg, "close", slow, SLOW_WINDOW))
+        df.withColumn("_base", _full(F.sum, "close", window, base))
+        .withColumn("_fast", _stacked("_base", base, FAST_WINDOW // base, keys))
+        .withColumn("_slow", _stacked("_fast", FAST_WINDOW, SLOW_WINDOW // FAST_WINDOW, keys))
+        .withColumn("ma_fast", F.col("_fast") / FAST_WINDOW)
+        .withColumn("ma_slow", F.col("_slow") / SLOW_WINDOW)
         .withColumn("trend_strength", F.try_divide(F.col("ma_fast") - F.col("ma_slow"), "ma_slow"))
+        .drop("_base", "_fast", "_slow")
     )
 
 
@@ -307,8 +327,9 @@ def clean_features(features: DataFrame, columns: Sequence[str] = tuple(FEATURES)
     """Infinities become null, columns null in every row go, rows with any null go.
 
     Which columns are empty is decided over the whole table in one aggregate, so all
-    symbols share a schema.
+    symbols share a schema.  The features are written once for that, not made twice.
     """
+    features = reliable(features)
     tidy = features.withColumns({c: finite(c) for c in columns})
     filled = tidy.agg(*(F.count(c).alias(c) for c in columns)).first()
     empty = [c for c in columns if filled[c] == 0]

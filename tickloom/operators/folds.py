@@ -117,7 +117,8 @@ def fold_rows(
     if is_cut(needed) or needs_split(needed, keys):
         return _fold_runs(needed, keys, list(order), fold)
     here = needed if placed else needed.repartition(*keys)
-    placed = here.sortWithinPartitions(*keys, *order)
+    # The order columns have done their work once the rows are sorted.
+    placed = here.sortWithinPartitions(*keys, *order).select(*dict.fromkeys([*keys, *fold.inputs]))
     return placed.mapInPandas(_walk(fold, keys, False), _output_schema(df, keys, fold, False))
 
 
@@ -131,9 +132,10 @@ def _fold_runs(df: DataFrame, keys: list[str], order: list[str], fold: Fold) ->
         cut = in_order = runs(df, keys, order)
     schema = _output_schema(cut, part_keys, fold, True)
     walk = _walk(fold, part_keys, True)
+    inputs = [c for c in fold.inputs if c not in part_keys]
     is_exit = F.col(EXIT).isNotNull()
 
-    first = reliable(in_order.mapInPandas(walk, schema))
+    first = reliable(in_order.select(*part_keys, *inputs).mapInPandas(walk, schema))
     emitted = first.filter(~is_exit).drop(EXIT)
     exits = first.filter(is_exit).select(*part_keys, EXIT)
     states = exits.withColumn(ENTRY, F.array(*map(F.lit, fold.initial))).withColumn(COLD, F.col(EXIT))
@@ -146,7 +148,7 @@ def _fold_runs(df: DataFrame, keys: list[str], order: list[str], fold: Fold) ->
             return emitted.join(moved, part_keys, "left_anti").drop(PART)
         entries = stale.select(*part_keys, ENTRY)
         again = cut.join(entries, part_keys).repartition(*part_keys).sortWithinPartitions(*part_keys, SLOT)
-        redone = reliable(again.mapInPandas(walk, schema))
+        redone = reliable(again.select(*part_keys, ENTRY, *inputs).mapInPandas(walk, schema))
         fixed = stale.drop(EXIT).join(redone.filter(is_exit).select(*part_keys, EXIT), part_keys)
         states = chained.filter(F.col(EXIT).isNotNull()).unionByName(fixed)
         # A run passed through emits nothing, whatever an earlier guess made it emit.

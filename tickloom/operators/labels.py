@@ -12,6 +12,7 @@ from tickloom.functions.trading import barrier_prices, label_bin
 from tickloom.operators.features import with_volatility
 from tickloom.operators.folds import Arrays, Fold, State, fold_rows
 from tickloom.operators.ordered import block_rows, history, is_cut, numbered, split, with_history
+from tickloom.session import reliable
 
 KEYS = ["symbol"]
 ORDER = ["ts", "uid"]
@@ -22,9 +23,15 @@ PROFIT_MULT = 2.0
 STOP_MULT = 2.0
 CUSUM_MULT = 2.0
 
+def valued(bars: DataFrame) -> DataFrame:
+    """Bars with ``vol``, written once: threshold, events and labels all read it."""
+    return bars if "vol" in bars.columns else reliable(with_volatility(bars))
+
+
 def cusum_threshold(bars: DataFrame, mult: float = CUSUM_MULT) -> DataFrame:
     """``mult`` times the mean exponential volatility, per symbol."""
-    return with_volatility(bars).groupBy("symbol").agg((mult * F.avg("vol")).alias("threshold"))
+    framed = bars if "vol" in bars.columns else with_volatility(bars)
+    return framed.groupBy("symbol").agg((mult * F.avg("vol")).alias("threshold"))
 
 
 def return_deviation(bars: DataFrame) -> DataFrame:
@@ -113,39 +120,48 @@ def vertical_barrier(bars: DataFrame, events: DataFrame, days: int = HORIZON_DAY
 # --- first touch of a price barrier -------------------------------------------------------
 
 
-class PricePath:
-    """Closes of one block with lowest and highest close per chunk, to skip quiet chunks."""
-
-    CHUNK = 256
-
-    def __init__(self, closes: np.ndarray):
-        self.closes = closes
-        edges = np.arange(0, len(closes), self.CHUNK)
-        self.least = np.minimum.reduceat(closes, edges)
-        self.most = np.maximum.reduceat(closes, edges)
-
-    def first(self, start: int, stop: int, outside) -> int:
-        """First index in [start, stop) where ``outside(prices)`` holds, -1 for none."""
-        border = min(stop, -(-start // self.CHUNK) * self.CHUNK)
-        hit = outside(self.closes[start:border])
-        if hit.any():
-            return start + int(hit.argmax())
-        lo, hi = border // self.CHUNK, -(-stop // self.CHUNK)
-        if border >= stop:
-            return -1
-        quiet = ~(outside(self.least[lo:hi]) | outside(self.most[lo:hi]))
-        for chunk in lo + np.flatnonzero(~quiet):
-            left = int(chunk) * self.CHUNK
-            hit = outside(self.closes[left : min(left + self.CHUNK, stop)])
-            if hit.any():
-                return left + int(hit.argmax())
-        return -1
+class Extremes:
+    """Lowest or highest close of every aligned power-of-two stretch, to skip quiet ones."""
+
+    def __init__(self, closes: np.ndarray, pick: np.ufunc, filler: float):
+        levels = [closes]
+        while len(levels[-1]) > 1:
+            below = levels[-1]
+            if len(below) % 2:
+                below = np.append(below, filler)
+            levels.append(pick(below[0::2], below[1::2]))
+        self.top = len(levels) - 1
+        self.offset = np.cumsum([0, *(len(level) for level in levels[:-1])])
+        self.flat = np.concatenate(levels)
+
+    def first(self, start: np.ndarray, stop: np.ndarray, outside) -> np.ndarray:
+        """Per event the first index in [start, stop) where ``outside(close, event)``, else -1.
+
+        All events move at once: a stretch without a hit is jumped over and the next one
+        doubles where it can; a stretch with a hit is halved down to the row.
+        """
+        found = np.full(len(start), -1)
+        at, level = start.copy(), np.zeros(len(start), dtype=np.int64)
+        live = np.flatnonzero(at < stop)
+        while live.size:
+            k, pos = level[live], at[live]
+            hit = outside(self.flat[self.offset[k] + (pos >> k)], live)
+            row = hit & (k == 0)
+            found[live[row]] = pos[row]
+            after = np.where(hit, pos, pos + (1 << k))
+            wider = ~hit & (k < self.top) & (after & ((2 << k) - 1) == 0)
+            at[live], level[live] = after, k + wider - (hit & (k > 0))
+            live = live[~row & (after < stop[live])]
+        return found
 
 
 TOUCH_SCHEMA = T.StructType(
     [
         T.StructField("symbol", T.StringType()),
         T.StructField("t0", T.TimestampNTZType()),
+        T.StructField("t1", T.TimestampNTZType()),
+        T.StructField("p0", T.DoubleType()),
+        T.StructField("vol", T.DoubleType()),
         T.StructField("sl_ts", T.TimestampNTZType()),
         T.StructField("sl_close", T.DoubleType()),
         T.StructField("pt_ts", T.TimestampNTZType()),
@@ -160,31 +176,36 @@ def _touches(pt: float, sl: float):
     down_mult = sl if sl > 0 else np.inf
 
     def search(bars: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
-        found: dict[str, list] = {name: [] for name in TOUCH_SCHEMA.names}
-        if len(bars) and len(events):
-            bars = bars.sort_values("ts", kind="stable", ignore_index=True)
-            times, closes = bars["ts"].to_numpy(), bars["close"].to_numpy()
-            path = PricePath(closes)
-            starts = np.searchsorted(times, events["t0"].to_numpy(), side="left")
-            stops = np.searchsorted(times, events["t1"].to_numpy(), side="right")
-            columns = zip(events["symbol"], events["t0"], events["t1"], events["p0"], events["side"], events["vol"])
-            for (symbol, t0, t1, p0, side, vol), start, stop in zip(columns, starts, stops):
-                low, high = -down_mult * vol, up_mult * vol
-                under = path.first(start, stop, lambda p: np.log(p / p0) * side < low)
-                over = path.first(start, stop, lambda p: np.log(p / p0) * side > high)
-                ends_here = stop > 0 and times[stop - 1] == np.datetime64(t1)
-                values = (
-                    symbol,
-                    t0,
-                    times[under] if under >= 0 else None,
-                    closes[under] if under >= 0 else None,
-                    times[over] if over >= 0 else None,
-                    closes[over] if over >= 0 else None,
-                    closes[stop - 1] if ends_here else None,
-                )
-                for name, value in zip(found, values):
-                    found[name].append(value)
-        return pd.DataFrame(found)
+        if bars.empty or events.empty:
+            return pd.DataFrame({name: [] for name in TOUCH_SCHEMA.names})
+        bars = bars.sort_values("ts", kind="stable")
+        times, closes = bars["ts"].to_numpy(), bars["close"].to_numpy()
+        ends = events["t1"].to_numpy()
+        start = np.searchsorted(times, events["t0"].to_numpy(), side="left")
+        stop = np.searchsorted(times, ends, side="right")
+        p0, side = events["p0"].to_numpy(), events["side"].to_numpy()
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            # An event that is short meets its stop on the way up and its target on the way down.
+            low, high = -down_mult * events["vol"].to_numpy(), up_mult * events["vol"].to_numpy()
+            crossings = {
+                "sl": lambda p, i: np.log(p / p0[i]) * side[i] < low[i],
+                "pt": lambda p, i: np.log(p / p0[i]) * side[i] > high[i],
+            }
+            falling = Extremes(closes, np.minimum, np.inf)
+            rising = Extremes(closes, np.maximum, -np.inf)
+            hits = {}
+            for name, outside in crossings.items():
+                with_side, against = (falling, rising) if name == "sl" else (rising, falling)
+                longs = with_side.first(start, np.where(side > 0, stop, start), outside)
+                shorts = against.first(start, np.where(side > 0, start, stop), outside)
+                hits[name] = np.maximum(longs, shorts)
+        out = events[["symbol", "t0", "t1", "p0", "vol"]].copy()
+        for name, row in hits.items():
+            out[f"{name}_ts"] = np.where(row >= 0, times[row], np.datetime64("NaT"))
+            out[f"{name}_close"] = np.where(row >= 0, closes[row], np.nan)
+        last = np.maximum(stop - 1, 0)
+        out["end_close"] = np.where((stop > 0) & (times[last] == ends), closes[last], np.nan)
+        return out[TOUCH_SCHEMA.names]
 
     return search
 
@@ -194,7 +215,8 @@ def barrier_touches(
 ) -> DataFrame:
     """First bars in [t0, t1] whose log return from t0 is below -sl * vol or above pt * vol.
 
-    ``events`` carries ``symbol, t0, t1, p0, side, vol``.  Bars of a symbol too large for
+    ``events`` carries ``symbol, t0, t1, p0, side, vol``, of which all but the side come
+    back beside the touches.  Bars of a symbol too large for
     one task are cut by position and an event visits the blocks its [t0, t1] overlaps;
     the earliest touch over its blocks is the answer.  A multiplier of 0 or less switches
     that side off.
@@ -214,10 +236,12 @@ def barrier_touches(
     else:
         visits = needed.withColumn("_block", F.lit(0).cast("long"))
     keys = ["symbol", "_block"]
+    # Both sides may descend from one frame; fresh columns keep their keys apart.
+    visits = visits.select(*(F.col(c).alias(c) for c in visits.columns))
     touched = placed.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(_touches(pt, sl), TOUCH_SCHEMA)
     if not is_cut(cut):
         return touched
-    return touched.groupBy("symbol", "t0").agg(
+    return touched.groupBy("symbol", "t0", "t1", "p0", "vol").agg(
         F.min("sl_ts").alias("sl_ts"),
         F.min_by("sl_close", "sl_ts").alias("sl_close"),
         F.min("pt_ts").alias("pt_ts"),
@@ -238,10 +262,11 @@ def triple_barrier_labels(
 
     Events without volatility or without a bar ``days`` later are dropped.
     """
-    start = with_volatility(bars).select("symbol", F.col("ts").alias("t0"), F.col("close").alias("p0"), "vol")
-    keyed = events.select("symbol", "t0").join(vertical_barrier(bars, events, days), ["symbol", "t0"])
-    ready = keyed.join(start, ["symbol", "t0"]).filter("vol is not null").withColumn("side", F.lit(float(side)))
-    touched = ready.join(barrier_touches(bars, ready, pt, sl), ["symbol", "t0"])
+    framed = valued(bars)
+    start = framed.select("symbol", F.col("ts").alias("t0"), F.col("close").alias("p0"), "vol")
+    ends = vertical_barrier(framed, events.select("symbol", "t0"), days)
+    known = ends.join(start.filter("vol is not null"), ["symbol", "t0"])
+    touched = barrier_touches(framed, known.withColumn("side", F.lit(float(side))), pt, sl)
     end = F.least("t1", "sl_ts", "pt_ts")
     close = (
         F.when(end == F.col("sl_ts"), F.col("sl_close"))

@@ -225,6 +225,10 @@ def cusum_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.cusum_threshold(bars(spark, sf_dir)).select("symbol", r("threshold", 8))
 
 
+def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.valued(bars(spark, sf_dir))
+
+
 def _events(frame: DataFrame) -> DataFrame:
     return labels.cusum_events(frame, labels.cusum_threshold(frame))
 
@@ -239,7 +243,7 @@ def _labels(frame: DataFrame) -> DataFrame:
 
 @query("cusum_events", sql.ask(sql.CUSUM, "SELECT symbol, ts, uid, side FROM cevents"))
 def cusum_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(bars(spark, sf_dir))
+    return _events(_valued(spark, sf_dir))
 
 
 @query(
@@ -259,7 +263,7 @@ def cusum_events_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vertical_barrier", sql.ask(sql.VERTICAL, "SELECT symbol, t0, v1 AS t1 FROM vert"))
 def vertical_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = bars(spark, sf_dir)
+    frame = _valued(spark, sf_dir)
     return labels.vertical_barrier(frame, _event_times(frame)).select("symbol", "t0", "t1")
 
 
@@ -273,7 +277,7 @@ def vertical_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def triple_barrier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labels(bars(spark, sf_dir)).withColumns(
+    return _labels(_valued(spark, sf_dir)).withColumns(
         {
             "ret": F.round("ret", 8),
             "profit_taking_price": F.round("profit_taking_price", 6),
@@ -302,9 +306,9 @@ touch AS (
 @query("triple_barrier_touch", sql.ask(DENSE, "SELECT symbol, t0, sl_ts, pt_ts FROM touch"))
 def triple_barrier_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short side, every bar an event, five days, wide barriers."""
-    frame = bars(spark, sf_dir)
+    frame = _valued(spark, sf_dir)
     events = frame.select("symbol", F.col("ts").alias("t0"))
-    start = labels.with_volatility(frame).select(
+    start = frame.select(
         "symbol", F.col("ts").alias("t0"), F.col("close").alias("p0"), "vol", F.lit(-1.0).alias("side")
     )
     ends = labels.vertical_barrier(frame, events, days=5)
@@ -317,8 +321,8 @@ def triple_barrier_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.ask(sql.CUSUM, "SELECT e.symbol, e.ts AS t0, round(v.vol, 10) AS vol FROM cevents e JOIN v100 v USING (symbol, pos) WHERE v.vol IS NOT NULL"),
 )
 def vol_at_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = bars(spark, sf_dir)
-    vol = labels.with_volatility(frame).select("symbol", F.col("ts").alias("t0"), r("vol", 10))
+    frame = _valued(spark, sf_dir)
+    vol = frame.select("symbol", F.col("ts").alias("t0"), r("vol", 10))
     return _event_times(frame).join(vol, ["symbol", "t0"]).filter("vol is not null")
 
 
@@ -327,7 +331,7 @@ def vol_at_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.ask(sql.LABELS, "SELECT symbol, t0, t1, p0, round(p0 * (1 + ret), 6) AS p1 FROM labelled"),
 )
 def price_at_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = bars(spark, sf_dir)
+    frame = _valued(spark, sf_dir)
     price = frame.select("symbol", F.col("ts").alias("t0"), F.col("close").alias("p0"))
     return _labels(frame).join(price, ["symbol", "t0"]).select(
         "symbol", "t0", "t1", "p0", F.round(F.col("p0") * (1 + F.col("ret")), 6).alias("p1")
@@ -343,7 +347,7 @@ def price_at_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def features_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = bars(spark, sf_dir)
+    frame = _valued(spark, sf_dir)
     made = features.windowed(frame, features.add_window_features, features.SLOW_WINDOW).filter("ma_slow is not null")
     joined = labels.features_at_events(_labels(frame), made)
     return joined.select("symbol", "t0", "bin", r("ma_slow"), r("trend_strength"), "cumulative_imbalance")
@@ -364,7 +368,7 @@ def features_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def sample_size_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = bars(spark, sf_dir)
+    frame = _valued(spark, sf_dir)
     return quality.sample_size_gates(frame, _events(frame), _labels(frame))
 
 
@@ -391,7 +395,7 @@ bounds AS MATERIALIZED (
     ),
 )
 def purged_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cv.purged_folds(_labels(bars(spark, sf_dir)))
+    return cv.purged_folds(_labels(_valued(spark, sf_dir)))
 
 
 # --- ledger ---------------------------------------------------------------------------------
@@ -606,7 +610,7 @@ JUDGED = sql.LABELS + f", sig AS ({sql.SIGNALS_BODY}), judged AS (SELECT l.symbo
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = tables.signals_walk(spark, sf_dir).select("symbol", F.col("ts").alias("t0"), "signal")
-    return _labels(bars(spark, sf_dir)).select("symbol", "t0", "bin").join(signals, ["symbol", "t0"])
+    return _labels(_valued(spark, sf_dir)).select("symbol", "t0", "bin").join(signals, ["symbol", "t0"])
 
 
 @query("meta_label", sql.ask(JUDGED, "SELECT symbol, t0, CAST(signal = bin AS INTEGER) AS hit FROM judged"))
