@@ -18,7 +18,7 @@ TEST_SHARE = 0.20
 def _sized(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``pos`` (1-based) and ``n`` per key."""
     cut = split(df, keys, order)
-    placed = numbered(cut, keys, order, "pos")
+    placed = numbered(cut, keys, order, "pos", True)
     if not is_cut(cut):
         return placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -58,9 +58,9 @@ def purged_folds(
     than the fold's first test sample starts, or comes more than ``floor(embargo * n)`` rows
     after the last sample starting before the test labels end.
     """
-    placed = _sized(samples.select(key, "t0", "t1"), [key], ["t0"])
-    # Read three times below: written once, so that the labels are not made three times.
-    placed = reliable(placed.withColumn("own_fold", fold_of(F.col("pos"), F.col("n"), k)))
+    # Read several times below: written once, so that the labels are not made again each time.
+    written = reliable(samples.select(key, "t0", "t1"))
+    placed = _sized(written, [key], ["t0"]).withColumn("own_fold", fold_of(F.col("pos"), F.col("n"), k))
     edges = placed.groupBy(key, F.col("own_fold").alias("fold")).agg(
         F.min("t0").alias("test_start"), F.max("t1").alias("test_end")
     )

@@ -108,13 +108,13 @@ def fold_rows(
 ) -> DataFrame:
     """Emitted rows of ``fold`` for every key, with the key columns in front.
 
-    ``placed`` says the rows already sit in hash partitions of ``keys``, which saves
-    the shuffle.
+    ``placed`` says that ``split`` has been applied and that rows it left uncut already sit
+    in hash partitions of ``keys``; it saves the measurement and the shuffle.
     """
     keys = list(keys)
     extra = [PART, SLOT] if is_cut(df) else []
     needed = df.select(*dict.fromkeys([*keys, *order, *fold.inputs, *extra]))
-    if is_cut(needed) or needs_split(needed, keys):
+    if is_cut(needed) or not placed and needs_split(needed, keys):
         return _fold_runs(needed, keys, list(order), fold)
     here = needed if placed else needed.repartition(*keys)
     # The order columns have done their work once the rows are sorted.

@@ -87,7 +87,7 @@ def cusum_events(bars: DataFrame, thresholds: DataFrame, delta: str = "price") -
 
     needed = split(bars.select("symbol", "ts", "uid", "close"), KEYS, ORDER)
     placed = needed if is_cut(needed) else needed.repartition(*KEYS)
-    moved = with_history(placed, KEYS, ORDER, 1, compute)
+    moved = with_history(placed, KEYS, ORDER, 1, compute, True)
     joined = moved.join(thresholds.select("symbol", "threshold"), "symbol")
     return fold_rows(joined, KEYS, ORDER, CUSUM_FOLD, placed=True)
 
@@ -108,10 +108,13 @@ def vertical_barrier(bars: DataFrame, events: DataFrame, days: int = HORIZON_DAY
         Window.unboundedPreceding, Window.currentRow
     )
     inside = merged.withColumn("_here", F.min("bar_ts").over(later)).filter("t0 is not null")
-    firsts = merged.groupBy("symbol", "_slot").agg(F.min("bar_ts").alias("_first"))
-    following = Window.partitionBy("symbol").orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = firsts.select("symbol", "_slot", F.min("_first").over(following).alias("_next"))
-    found = inside.join(nexts, ["symbol", "_slot"]).select(
+    slotted = times.withColumn("_slot", F.date_trunc(bucket, F.col("at").cast("timestamp")))
+    firsts = slotted.groupBy("symbol", "_slot").agg(F.min("bar_ts").alias("_next"))
+    step = F.expr(f"interval 1 {bucket}")
+    # Every bucket from one with bars up to the one before the next with bars.
+    gaps = firsts.withColumn("_from", F.lag("_slot").over(history(KEYS, ["_slot"]))).filter("_from is not null")
+    nexts = gaps.select("symbol", "_next", F.explode(F.sequence("_from", F.col("_slot") - step, step)).alias("_slot"))
+    found = inside.join(nexts, ["symbol", "_slot"], "left").select(
         "symbol", "t0", F.coalesce("_here", "_next").alias("t1")
     )
     return found.filter("t1 is not null")

@@ -74,12 +74,13 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | N
     )
 
 
-def split(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def split(df: DataFrame, keys: Sequence[str], order: Sequence[str], checked: bool = False) -> DataFrame:
     """``df`` cut into runs if a key is too large for one task, else ``df`` itself.
 
-    The helpers below cut on their own; cutting first lets several of them share it.
+    The helpers below cut on their own.  Cutting first and passing ``checked=True`` to
+    them lets several share one measurement and one cut.
     """
-    if PART in df.columns or not needs_split(df, keys):
+    if checked or PART in df.columns or not needs_split(df, keys):
         return df
     return runs(df, keys, order)
 
@@ -96,9 +97,11 @@ def earlier_runs(keys: Sequence[str]) -> WindowSpec:
     return history(keys, [PART]).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "pos", checked: bool = False
+) -> DataFrame:
     """1-based row number per key."""
-    cut = split(df, keys, order)
+    cut = split(df, keys, order, checked)
     if not is_cut(cut):
         return df.withColumn(name, F.row_number().over(history(keys, order)).cast("long"))
     return _uncut(_numbered_by_runs(cut, keys, name), df)
@@ -122,6 +125,7 @@ def with_history(
     order: Sequence[str],
     lookback: int,
     compute: Callable[[DataFrame, list[str]], DataFrame],
+    checked: bool = False,
 ) -> DataFrame:
     """Run ``compute(df, keys)`` where a result row needs at most ``lookback`` earlier rows.
 
@@ -130,7 +134,7 @@ def with_history(
     after ``compute``, which must keep every input column.
     """
     keys = list(keys)
-    cut = split(df, keys, order)
+    cut = split(df, keys, order, checked)
     if not is_cut(cut):
         return compute(df, keys)
     size = max(block_rows(df.sparkSession), lookback)
@@ -142,9 +146,11 @@ def with_history(
     return _uncut(done, df)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, checked: bool = False
+) -> DataFrame:
     """Sum of ``value`` from the key's first row to the current one."""
-    cut = split(df.withColumn("_value", value), keys, order)
+    cut = split(df.withColumn("_value", value), keys, order, checked)
     if not is_cut(cut):
         window = history(keys, order).rowsBetween(Window.unboundedPreceding, 0)
         return cut.withColumn(name, F.sum("_value").over(window)).drop("_value")
@@ -163,9 +169,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return _uncut(summed, df)
 
 
-def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+def running_last(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, checked: bool = False
+) -> DataFrame:
     """Latest non-null ``value`` up to and including the current row."""
-    cut = split(df.withColumn("_value", value), keys, order)
+    cut = split(df.withColumn("_value", value), keys, order, checked)
     if not is_cut(cut):
         window = history(keys, order).rowsBetween(Window.unboundedPreceding, 0)
         return cut.withColumn(name, F.last("_value", ignorenulls=True).over(window)).drop("_value")
