@@ -1,6 +1,6 @@
 from importlib import import_module
 
-GROUPS = ["market_data", "research"]
+GROUPS = ["market_data", "research", "modelling", "live"]
 
 
 def load_all() -> None:

@@ -15,8 +15,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "events").select(
+def _named(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("symbol"),
         "ts",
         F.col("event_id").alias("uid"),
@@ -25,16 +25,20 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ticks_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Independent price draws: ``symbol, ts, uid, price, volume``."""
-    return _events(spark, sf_dir).select(
+def ticks_from_events(events: DataFrame) -> DataFrame:
+    """Independent price draws: ``symbol, ts, uid, price, volume``; batch or stream."""
+    return _named(events).select(
         "symbol", "ts", "uid", F.col("value").alias("price"), F.col("k").cast("double").alias("volume")
     )
 
 
+def ticks_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks_from_events(read_table(spark, sf_dir, "events"))
+
+
 def ticks_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random-walk prices; the running sum is over integers, so it is exact."""
-    events = _events(spark, sf_dir)
+    events = _named(read_table(spark, sf_dir, "events"))
     walked = running_sum(events, TICK_KEY, TICK_ORDER, 2 * F.col("k") - 99, "moved")
     return walked.select(
         "symbol",
