@@ -180,7 +180,7 @@ def _touches(pt: float, sl: float):
 
     def search(bars: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
         if bars.empty or events.empty:
-            return pd.DataFrame({name: [] for name in TOUCH_SCHEMA.names})
+            return pd.DataFrame(columns=TOUCH_SCHEMA.names, dtype=object)
         bars = bars.sort_values("ts", kind="stable")
         times, closes = bars["ts"].to_numpy(), bars["close"].to_numpy()
         ends = events["t1"].to_numpy()
