@@ -18,14 +18,14 @@ def frame():
 def test_small_table_needs_no_counting_job(spark, frame):
     df = to_spark(spark, frame)
     assert ordered.estimated_bytes(df) <= ordered.DEFAULT_BLOCK_ROWS * ordered.MIN_BYTES_PER_ROW
-    assert not ordered.needs_split(df, KEYS)
+    assert ordered.rows_to_split(df, KEYS) is None
 
 
 def test_hot_key_is_noticed(spark, frame, small_blocks):
     small_blocks(100)
     df = to_spark(spark, frame)
-    assert ordered.largest_group(df, KEYS) == 900
-    assert ordered.needs_split(df, KEYS)
+    assert ordered.group_sizes(df, KEYS) == (900, sum(SIZES.values()))
+    assert ordered.rows_to_split(df, KEYS) == sum(SIZES.values())
 
 
 @pytest.mark.parametrize("block", [2_000_000, 100, 33])
@@ -66,7 +66,7 @@ def test_with_history_equals_plain_window(spark, frame, small_blocks, block):
 
 def test_hot_key_is_spread_over_partitions(spark, frame, small_blocks):
     small_blocks(100)
-    cut = ordered.runs(to_spark(spark, frame), KEYS, ORDER)
+    cut = ordered.split(to_spark(spark, frame), KEYS, ORDER)
     sizes = cut.groupBy("symbol", ordered.PART).count().toPandas()
     assert (sizes["symbol"] == "hot").sum() > 4
     assert sizes["count"].max() < 400
@@ -78,3 +78,12 @@ def test_keep_first(spark, frame):
     wanted = frame.sort_values("uid").drop_duplicates(["symbol", "ts"]).sort_values(["symbol", "ts"])
     assert got["uid"].tolist() == wanted["uid"].tolist()
     assert list(got.columns) == list(frame.columns)
+
+
+def test_broadcast_hint_only_below_the_measured_limit(spark, frame, monkeypatch):
+    df = to_spark(spark, frame).select("symbol").distinct()
+    monkeypatch.setattr(ordered, "estimated_bytes", lambda df: 1 << 40)
+    hinted = ordered.small_side(df)._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" in hinted or "UnresolvedHint" in hinted
+    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 1)
+    assert "Hint" not in ordered.small_side(df)._jdf.queryExecution().logical().toString()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import is_cut, numbered, split
+from tickloom.operators.ordered import is_cut, numbered, small_side, split
 from tickloom.session import reliable
 
 N_FOLDS = 5
@@ -65,6 +65,7 @@ def purged_folds(
         F.min("t0").alias("test_start"), F.max("t1").alias("test_end")
     )
     # ``edges`` has k rows per key, so both joins widen the samples k times, as the result does.
+    edges = small_side(edges)
     started = placed.join(edges, key).filter("t0 < test_end")
     reach = started.groupBy(key, "fold").agg(F.max("pos").alias("reach"))
     bounds = edges.join(reach, [key, "fold"], "left")
@@ -75,4 +76,4 @@ def purged_folds(
         .when(F.col("pos") > after, "train")
         .otherwise("purged")
     )
-    return placed.join(bounds, key).select("fold", key, "t0", "t1", role.alias("role"))
+    return placed.join(small_side(bounds), key).select("fold", key, "t0", "t1", role.alias("role"))

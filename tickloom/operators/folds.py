@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.ordered import PART, SLOT, is_cut, needs_split, runs
+from tickloom.operators.ordered import PART, SLOT, is_cut, small_side, split
 from tickloom.session import reliable
 
 State = tuple[float, ...]
@@ -114,28 +114,25 @@ def fold_rows(
     keys = list(keys)
     extra = [PART, SLOT] if is_cut(df) else []
     needed = df.select(*dict.fromkeys([*keys, *order, *fold.inputs, *extra]))
-    if is_cut(needed) or not placed and needs_split(needed, keys):
-        return _fold_runs(needed, keys, list(order), fold)
+    cut = split(needed, keys, order, checked=placed)
+    if is_cut(cut):
+        return _fold_runs(cut, keys, fold, in_order=not is_cut(df))
     here = needed if placed else needed.repartition(*keys)
     # The order columns have done their work once the rows are sorted.
     placed = here.sortWithinPartitions(*keys, *order).select(*dict.fromkeys([*keys, *fold.inputs]))
     return placed.mapInPandas(_walk(fold, keys, False), _output_schema(df, keys, fold, False))
 
 
-def _fold_runs(df: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
+def _fold_runs(cut: DataFrame, keys: list[str], fold: Fold, in_order: bool) -> DataFrame:
     part_keys = [*keys, PART]
-    # A frame cut earlier has lost its physical order on the way here; a fresh cut has it.
-    if is_cut(df):
-        cut = df
-        in_order = cut.repartition(*part_keys).sortWithinPartitions(*part_keys, SLOT)
-    else:
-        cut = in_order = runs(df, keys, order)
+    # A fresh cut is in order on disk; one that went through other steps must be put in order.
+    ready = cut if in_order else cut.repartition(*part_keys).sortWithinPartitions(*part_keys, SLOT)
     schema = _output_schema(cut, part_keys, fold, True)
     walk = _walk(fold, part_keys, True)
     inputs = [c for c in fold.inputs if c not in part_keys]
     is_exit = F.col(EXIT).isNotNull()
 
-    first = reliable(in_order.select(*part_keys, *inputs).mapInPandas(walk, schema))
+    first = reliable(ready.select(*part_keys, *inputs).mapInPandas(walk, schema))
     emitted = first.filter(~is_exit).drop(EXIT)
     exits = first.filter(is_exit).select(*part_keys, EXIT)
     states = exits.withColumn(ENTRY, F.array(*map(F.lit, fold.initial))).withColumn(COLD, F.col(EXIT))
@@ -147,7 +144,7 @@ def _fold_runs(df: DataFrame, keys: list[str], order: list[str], fold: Fold) ->
             moved = chained.filter(~F.col(SAME)).select(*part_keys)
             return emitted.join(moved, part_keys, "left_anti").drop(PART)
         entries = stale.select(*part_keys, ENTRY)
-        again = cut.join(entries, part_keys).repartition(*part_keys).sortWithinPartitions(*part_keys, SLOT)
+        again = cut.join(small_side(entries), part_keys).repartition(*part_keys).sortWithinPartitions(*part_keys, SLOT)
         redone = reliable(again.select(*part_keys, ENTRY, *inputs).mapInPandas(walk, schema))
         fixed = stale.drop(EXIT).join(redone.filter(is_exit).select(*part_keys, EXIT), part_keys)
         states = chained.filter(F.col(EXIT).isNotNull()).unionByName(fixed)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tickloom.functions.trading import barrier_prices, label_bin
 from tickloom.operators.features import with_volatility
 from tickloom.operators.folds import Arrays, Fold, State, fold_rows
-from tickloom.operators.ordered import block_rows, history, is_cut, numbered, split, with_history
+from tickloom.operators.ordered import block_rows, history, is_cut, numbered, small_side, split, with_history
 from tickloom.session import reliable
 
 KEYS = ["symbol"]
@@ -88,7 +88,7 @@ def cusum_events(bars: DataFrame, thresholds: DataFrame, delta: str = "price") -
     needed = split(bars.select("symbol", "ts", "uid", "close"), KEYS, ORDER)
     placed = needed if is_cut(needed) else needed.repartition(*KEYS)
     moved = with_history(placed, KEYS, ORDER, 1, compute, True)
-    joined = moved.join(thresholds.select("symbol", "threshold"), "symbol")
+    joined = moved.join(small_side(thresholds.select("symbol", "threshold")), "symbol")
     return fold_rows(joined, KEYS, ORDER, CUSUM_FOLD, placed=True)
 
 
@@ -235,7 +235,7 @@ def barrier_touches(
     needed = events.select("symbol", "t0", "t1", "p0", "side", "vol")
     if is_cut(cut):
         spans = placed.groupBy("symbol", "_block").agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
-        visits = needed.join(spans, "symbol").filter("_to >= t0 and _from <= t1").drop("_from", "_to")
+        visits = needed.join(small_side(spans), "symbol").filter("_to >= t0 and _from <= t1").drop("_from", "_to")
     else:
         visits = needed.withColumn("_block", F.lit(0).cast("long"))
     keys = ["symbol", "_block"]

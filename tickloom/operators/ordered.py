@@ -24,6 +24,8 @@ from tickloom.session import reliable
 BLOCK_ROWS_KEY = "spark.tickloom.blockRows"
 DEFAULT_BLOCK_ROWS = 2_000_000
 MIN_BYTES_PER_ROW = 4
+# Rows of a few dozen bytes each: some ten megabytes per executor at most.
+BROADCAST_ROWS = 200_000
 
 PART = "_run"
 SLOT = "_slot"
@@ -40,32 +42,48 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest key and rows of all, in one pass over the key columns."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, total or 0
 
 
-def needs_split(df: DataFrame, keys: Sequence[str]) -> bool:
+def rows_to_split(df: DataFrame, keys: Sequence[str]) -> int | None:
+    """Number of rows if some key is too large for one task, else None."""
     limit = block_rows(df.sparkSession)
     # Too few bytes for any group to exceed the limit: no counting job needed.
     if estimated_bytes(df) <= limit * MIN_BYTES_PER_ROW:
-        return False
-    return largest_group(df, keys) > limit
+        return None
+    largest, total = group_sizes(df, keys)
+    return total if largest > limit else None
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its row count, measured, allows one.
+
+    For sides with one row per symbol or per run.  Where the estimate is already below
+    Spark's own limit nothing is measured.
+    """
+    own_limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if estimated_bytes(df) <= own_limit:
+        return df
+    written = reliable(df)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
 def history(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> DataFrame:
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], total: int) -> DataFrame:
     """Globally ordered, checkpointed rows tagged with their run (range partition).
 
     A run holds consecutive rows of a key; a hot key owns many runs.  ``order`` must
-    be total within a key so the cut never depends on arrival order.
+    be total within a key so the cut never depends on arrival order.  ``total`` is the
+    number of rows, which sets the number of runs.
     """
-    rows = rows or block_rows(df.sparkSession)
-    total = df.count()
-    pieces = max(1, -(-total // rows))
+    pieces = max(1, -(-total // block_rows(df.sparkSession)))
     ordered = df.repartitionByRange(pieces, *keys, *order).sortWithinPartitions(*keys, *order)
     return (
         reliable(ordered)
@@ -80,9 +98,10 @@ def split(df: DataFrame, keys: Sequence[str], order: Sequence[str], checked: boo
     The helpers below cut on their own.  Cutting first and passing ``checked=True`` to
     them lets several share one measurement and one cut.
     """
-    if checked or PART in df.columns or not needs_split(df, keys):
+    if checked or PART in df.columns:
         return df
-    return runs(df, keys, order)
+    total = rows_to_split(df, keys)
+    return df if total is None else runs(df, keys, order, total)
 
 
 def is_cut(df: DataFrame) -> bool:
@@ -113,7 +132,7 @@ def _numbered_by_runs(cut: DataFrame, keys: Sequence[str], name: str) -> DataFra
         *keys, PART, "_first", F.coalesce(F.sum("_n").over(earlier_runs(keys)), F.lit(0)).alias("_before")
     )
     return (
-        cut.join(offsets, [*keys, PART])
+        cut.join(small_side(offsets), [*keys, PART])
         .withColumn(name, F.col(SLOT) - F.col("_first") + F.col("_before") + 1)
         .drop("_first", "_before")
     )
@@ -162,7 +181,7 @@ def running_sum(
     window = history([*keys, PART], order).rowsBetween(Window.unboundedPreceding, 0)
     summed = (
         cut.withColumn(name, F.sum("_value").over(window))
-        .join(carried, [*keys, PART])
+        .join(small_side(carried), [*keys, PART])
         .withColumn(name, F.col(name) + F.col("_carried"))
         .drop("_value", "_carried")
     )
@@ -185,7 +204,7 @@ def running_last(
     window = history([*keys, PART], order).rowsBetween(Window.unboundedPreceding, 0)
     filled = (
         cut.withColumn(name, F.last("_value", ignorenulls=True).over(window))
-        .join(carried, [*keys, PART])
+        .join(small_side(carried), [*keys, PART])
         .withColumn(name, F.coalesce(name, "_carried"))
         .drop("_value", "_carried")
     )
@@ -195,5 +214,7 @@ def running_last(
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row of each key in ``order``; the aggregate combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
+    if rest == list(order) and len(rest) == 1:
+        return df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return best.select(*keys, "_row.*").select(*df.columns)
