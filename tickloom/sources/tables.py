@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.ordered import running_sum, with_history
 
@@ -11,8 +14,15 @@ TICK_KEY = ["symbol"]
 TICK_ORDER = ["ts", "uid"]
 
 
+@lru_cache(maxsize=None)
+def _schema(path: str) -> T.StructType:
+    return SparkSession.active().read.parquet(path).schema
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table; its footer is read for the schema once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def _named(events: DataFrame) -> DataFrame:
