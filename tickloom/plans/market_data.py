@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import clean, market
 from tickloom.operators import bars as bar_ops
-from tickloom.operators import quality
+from tickloom.operators import portfolio, quality
 from tickloom.operators.ordered import keep_first
 from tickloom.plans import sql
 from tickloom.plans.registry import query
@@ -22,6 +22,11 @@ def r(column: str, digits: int = 6):
     return F.round(column, digits).alias(column)
 
 
+def as_text(*names: str) -> dict:
+    """Dates as ISO text, which both engines print alike."""
+    return {name: F.col(name).cast("string") for name in names}
+
+
 def fixed_thresholds(ticks: DataFrame, limit: float = FIXED_LIMIT) -> DataFrame:
     return ticks.select("symbol").distinct().withColumn("threshold", F.lit(limit))
 
@@ -161,11 +166,11 @@ def dedup_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.ask(
         sql.TICKS,
         """SELECT symbol, uid, ts AS timestamp, CAST(price AS FLOAT) AS price, CAST(floor(volume) AS BIGINT) AS size,
-        CAST(ts AS DATE) AS date FROM ticks WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY""",
+        CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM ticks WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY""",
     ),
 )
 def archive_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.archive_rows(tables.ticks_events(spark, sf_dir), AS_OF, days=20)
+    return archive.archive_rows(tables.ticks_events(spark, sf_dir), AS_OF, days=20).withColumns(as_text("date"))
 
 
 @query(
@@ -190,7 +195,7 @@ def write_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ingest_status",
     sql.ask(
         sql.TICKS,
-        """SELECT symbol, ['pending', 'active', 'archived'][k % 3 + 1] AS status, CAST(ts AS DATE) AS last_date
+        """SELECT symbol, ['pending', 'active', 'archived'][k % 3 + 1] AS status, CAST(CAST(ts AS DATE) AS VARCHAR) AS last_date
         FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY uid DESC) = 1""",
     ),
 )
@@ -202,7 +207,7 @@ def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("ts").alias("last_date"),
         F.col("uid").alias("seq"),
     )
-    return archive.latest_status(log)
+    return archive.latest_status(log).withColumns(as_text("last_date"))
 
 
 # --- projections ----------------------------------------------------------------------------
@@ -285,7 +290,7 @@ def string_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     "missing_days",
     sql.ask(
         f"{sql.CALENDAR}, {sql.UNIVERSE}, {sql.TICKS}",
-        """SELECT u.symbol, c.date FROM universe u, calendar c
+        """SELECT u.symbol, CAST(c.date AS VARCHAR) AS date FROM universe u, calendar c
         WHERE NOT EXISTS (SELECT 1 FROM ticks t WHERE t.symbol = u.symbol AND CAST(t.ts AS DATE) = c.date
                           AND (t.uid + dayofmonth(c.date)) % 7 <> 0 AND t.k < 5)""",
     ),
@@ -294,35 +299,38 @@ def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps after a rule drops most ticks, so that some days go missing."""
     ticks = tables.ticks_events(spark, sf_dir)
     thinned = ticks.filter(((F.col("uid") + F.dayofmonth("ts")) % 7 != 0) & (F.col("volume") < 5))
-    return quality.missing_days(tables.universe(spark, sf_dir), tables.calendar(spark, sf_dir), thinned)
+    found = quality.missing_days(tables.universe(spark, sf_dir), tables.calendar(spark, sf_dir), thinned)
+    return found.withColumns(as_text("date"))
 
 
 @query(
     "coverage_report",
     sql.ask(
         f"{sql.UNIVERSE}, {sql.TICKS}",
-        """SELECT u.symbol, count(DISTINCT CAST(ts AS DATE)) AS days, min(CAST(ts AS DATE)) AS first_day,
-        max(CAST(ts AS DATE)) AS last_day, CASE WHEN count(ts) = 0 THEN 'MISSING'
+        """SELECT u.symbol, count(DISTINCT CAST(ts AS DATE)) AS days, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS first_day,
+        CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS last_day, CASE WHEN count(ts) = 0 THEN 'MISSING'
         WHEN count(DISTINCT CAST(ts AS DATE)) >= 240 THEN 'OK' ELSE 'LOW' END AS status
         FROM universe u LEFT JOIN ticks t ON t.symbol = u.symbol GROUP BY u.symbol""",
     ),
 )
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.coverage_report(tables.universe(spark, sf_dir), tables.ticks_events(spark, sf_dir))
+    found = quality.coverage_report(tables.universe(spark, sf_dir), tables.ticks_events(spark, sf_dir))
+    return found.withColumns(as_text("first_day", "last_day"))
 
 
 @query(
     "coverage_report_wide",
     """WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS day FROM lineitem)
-       SELECT CAST(s_suppkey AS VARCHAR) AS symbol, count(DISTINCT day) AS days, min(day) AS first_day,
-       max(day) AS last_day, CASE WHEN count(day) = 0 THEN 'MISSING' WHEN count(DISTINCT day) >= 240 THEN 'OK'
+       SELECT CAST(s_suppkey AS VARCHAR) AS symbol, count(DISTINCT day) AS days, CAST(min(day) AS VARCHAR) AS first_day,
+       CAST(max(day) AS VARCHAR) AS last_day, CASE WHEN count(day) = 0 THEN 'MISSING' WHEN count(DISTINCT day) >= 240 THEN 'OK'
        ELSE 'LOW' END AS status
        FROM supplier LEFT JOIN t ON t.symbol = CAST(s_suppkey AS VARCHAR) GROUP BY s_suppkey""",
 )
 def coverage_report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same report over many symbols."""
     suppliers = tables.read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"))
-    return quality.coverage_report(suppliers, tables.ticks_lineitem(spark, sf_dir))
+    found = quality.coverage_report(suppliers, tables.ticks_lineitem(spark, sf_dir))
+    return found.withColumns(as_text("first_day", "last_day"))
 
 
 TABLE_NAMES = [
@@ -433,6 +441,4 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("top_universe", sql.ask(sql.UNIVERSE, "SELECT symbol, rank FROM universe WHERE rank < 3"))
 def top_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tickloom.operators.portfolio import top_universe as top
-
-    return top(tables.universe(spark, sf_dir), 3)
+    return portfolio.top_universe(tables.universe(spark, sf_dir), 3)

@@ -502,9 +502,10 @@ def order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- portfolio ------------------------------------------------------------------------------
 
 
-@query("aligned_returns", sql.ask(sql.ALIGNED, "SELECT symbol, date, round(ret, 10) AS ret FROM aligned"))
+@query("aligned_returns", sql.ask(sql.ALIGNED, "SELECT symbol, CAST(date AS VARCHAR) AS date, round(ret, 10) AS ret FROM aligned"))
 def aligned_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.aligned_returns(tables.daily_close(spark, sf_dir)).withColumn("ret", F.round("ret", 10))
+    returns = portfolio.aligned_returns(tables.daily_close(spark, sf_dir))
+    return returns.select("symbol", F.col("date").cast("string").alias("date"), r("ret", 10))
 
 
 @query(
@@ -534,15 +535,14 @@ def inverse_variance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql.ALIGNED
         + """, inv AS (SELECT symbol, date, 1.0::DOUBLE / nullif(var_samp(ret) OVER (PARTITION BY symbol ORDER BY date
              ROWS 8 PRECEDING), 0) AS inv FROM aligned)""",
-        """SELECT date AS as_of, symbol, round(coalesce(inv / sum(inv) OVER (PARTITION BY date),
+        """SELECT CAST(date AS VARCHAR) AS as_of, symbol, round(coalesce(inv / sum(inv) OVER (PARTITION BY date),
         1.0::DOUBLE / count(*) OVER (PARTITION BY date)), 8) AS weight FROM inv""",
     ),
 )
 def rebalance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten closes, nine returns, so that the trailing frame moves within the month."""
-    return portfolio.rebalance_weights(tables.daily_close(spark, sf_dir), days=10).withColumn(
-        "weight", F.round("weight", 8)
-    )
+    weights = portfolio.rebalance_weights(tables.daily_close(spark, sf_dir), days=10)
+    return weights.select(F.col("as_of").cast("string").alias("as_of"), "symbol", r("weight", 8))
 
 
 # --- scalar rules and scores ----------------------------------------------------------------
