@@ -41,10 +41,13 @@ def test_running_sum_and_last(spark, frame, small_blocks, block):
     small_blocks(block)
     df = to_spark(spark, frame)
     df = ordered.running_sum(df, KEYS, ORDER, F.col("volume"), "total")
+    df = ordered.lagged(df, KEYS, ORDER, "price", "before")
     df = ordered.running_last(df, KEYS, ORDER, F.when(F.col("volume") > 17, F.col("uid")), "big")
     got = rows_of(df, "symbol", "ts", "uid")
     wanted = frame.sort_values(["symbol", "ts", "uid"]).reset_index(drop=True)
     assert got["total"].tolist() == wanted.groupby("symbol")["volume"].cumsum().tolist()
+    before = wanted.groupby("symbol")["price"].shift(1)
+    pd.testing.assert_series_equal(got["before"], before, check_names=False)
     big = wanted["uid"].where(wanted["volume"] > 17).groupby(wanted["symbol"]).ffill()
     pd.testing.assert_series_equal(got["big"].astype(float), big.astype(float), check_names=False)
 

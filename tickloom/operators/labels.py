@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tickloom.functions.trading import barrier_prices, label_bin
 from tickloom.operators.features import with_volatility
 from tickloom.operators.folds import Arrays, Fold, State, fold_rows
-from tickloom.operators.ordered import block_rows, history, is_cut, numbered, small_side, split, with_history
+from tickloom.operators.ordered import block_rows, columns_of, history, is_cut, lagged, numbered, small_side, split
 from tickloom.session import reliable
 
 KEYS = ["symbol"]
@@ -37,10 +37,7 @@ def cusum_threshold(bars: DataFrame, mult: float = CUSUM_MULT) -> DataFrame:
 def return_deviation(bars: DataFrame) -> DataFrame:
     """Standard deviation of simple returns, the CUSUM threshold when none is given."""
 
-    def compute(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.withColumn("_prev", F.lag("close").over(history(keys, ORDER)))
-
-    moved = with_history(bars, KEYS, ORDER, 1, compute)
+    moved = lagged(columns_of(bars, "symbol", "ts", "uid", "close"), KEYS, ORDER, "close", "_prev")
     change = F.try_divide("close", "_prev") - 1
     return moved.groupBy("symbol").agg(F.stddev_samp(change).alias("threshold"))
 
@@ -80,16 +77,15 @@ def cusum_events(bars: DataFrame, thresholds: DataFrame, delta: str = "price") -
     ``delta='log'`` cumulates log returns instead of price differences.
     """
 
-    def compute(df: DataFrame, keys: list[str]) -> DataFrame:
-        prev = F.lag("close").over(history(keys, ORDER))
-        move = F.ln(F.col("close")) - F.ln(prev) if delta == "log" else F.col("close") - prev
-        return df.withColumn("delta", move)
-
-    needed = split(bars.select("symbol", "ts", "uid", "close"), KEYS, ORDER)
-    placed = needed if is_cut(needed) else needed.repartition(*KEYS)
-    moved = with_history(placed, KEYS, ORDER, 1, compute, True)
-    joined = moved.join(small_side(thresholds.select("symbol", "threshold")), "symbol")
-    return fold_rows(joined, KEYS, ORDER, CUSUM_FOLD, placed=True)
+    limits = small_side(thresholds.select("symbol", "threshold"))
+    # Joined before the rows are placed: a join after it could be split up for skew.
+    needed = columns_of(bars, "symbol", "ts", "uid", "close").join(limits, "symbol")
+    cut = split(needed, KEYS, ORDER)
+    placed = cut if is_cut(cut) else cut.repartition(*KEYS)
+    before = lagged(placed, KEYS, ORDER, "close", "_prev", True)
+    close, prev = F.col("close"), F.col("_prev")
+    moved = before.withColumn("delta", F.ln(close) - F.ln(prev) if delta == "log" else close - prev).drop("_prev")
+    return fold_rows(moved, KEYS, ORDER, CUSUM_FOLD, placed=True)
 
 
 def vertical_barrier(bars: DataFrame, events: DataFrame, days: int = HORIZON_DAYS, bucket: str = "hour") -> DataFrame:

@@ -165,6 +165,32 @@ def with_history(
     return _uncut(done, df)
 
 
+def columns_of(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and the run columns of a cut frame."""
+    return df.select(*names, *(c for c in (SLOT, PART) if c in df.columns and c not in names))
+
+
+def lagged(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, checked: bool = False
+) -> DataFrame:
+    """Value of ``column`` in the row before.  A run takes its first one from the run before it."""
+    cut = split(df, keys, order, checked)
+    if not is_cut(cut):
+        return df.withColumn(name, F.lag(column).over(history(keys, order)))
+    ends = cut.groupBy(*keys, PART).agg(F.max_by(column, SLOT).alias("_end"))
+    carried = ends.select(*keys, PART, F.lag("_end").over(history(keys, [PART])).alias("_carried"))
+    window = history([*keys, PART], order)
+    first = F.row_number().over(window) == 1
+    shifted = (
+        cut.withColumn("_first", first)
+        .withColumn(name, F.lag(column).over(window))
+        .join(small_side(carried), [*keys, PART])
+        .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(name)))
+        .drop("_first", "_carried")
+    )
+    return _uncut(shifted, df)
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, checked: bool = False
 ) -> DataFrame:

@@ -20,14 +20,19 @@ from tickloom.operators.features import (
     with_volatility,
 )
 from tickloom.operators.models import Primary, Settings, fit_meta, fit_primary, out_of_fold, score_signals
+from tickloom.operators.ordered import split
 from tickloom.session import reliable
 
 LEAST_TEST_ROWS = 100
 
 
 def build_bars(ticks: DataFrame, expected_ticks: float = bar_ops.EXPECTED_TICKS) -> DataFrame:
-    """Threshold per symbol, bars, one bar per time."""
-    bars = bar_ops.dollar_imbalance_bars(ticks, bar_ops.imbalance_threshold(ticks, expected_ticks))
+    """Threshold per symbol, then bars; a hot symbol is cut once for both.
+
+    The first bar of a time stays, as ticks may share one.
+    """
+    cut = split(ticks.select("symbol", "ts", "uid", "price", "volume"), bar_ops.KEYS, bar_ops.ORDER)
+    bars = bar_ops.dollar_imbalance_bars(cut, bar_ops.imbalance_threshold(cut, expected_ticks), one_per_time=True)
     return bars.withColumn("uid", F.lit(0).cast("long"))
 
 
