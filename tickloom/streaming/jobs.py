@@ -122,13 +122,14 @@ def start_scoring(
     )
 
 
-STREAM_POSITIONS = Fold(["ts", "signal", "eligible"], (0.0,), INTENT_SCHEMA, lambda s, rows: _positions(s, rows))
-
-
 def _positions(state: State, rows: Arrays) -> tuple[Arrays, State]:
+    """Streams carry every input as a double."""
     return position_step(state, {**rows, "eligible": rows["eligible"] > 0})
 
 
+STREAM_POSITIONS = Fold(["ts", "signal", "eligible"], (0.0,), INTENT_SCHEMA, _positions)
+
+
 def stream_order_intents(signals: DataFrame, delay: str, least_conf: float = LIVE_CONFIDENCE) -> DataFrame:
     """Buy and sell intents of a signal stream; ``symbol, ts, action``."""
     eligible = signals.filter((F.col("conf") > least_conf) & (F.col("signal") != 0))
