@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tickloom.functions.trading import barrier_prices, label_bin
 from tickloom.operators.features import with_volatility
 from tickloom.operators.folds import Arrays, Fold, State, fold_rows
-from tickloom.operators.ordered import block_rows, columns_of, history, is_cut, lagged, numbered, small_side, split
+from tickloom.operators.ordered import block_rows, columns_of, history, is_cut, join_and_split, lagged, numbered, small_side, split
 from tickloom.session import reliable
 
 KEYS = ["symbol"]
@@ -77,10 +77,9 @@ def cusum_events(bars: DataFrame, thresholds: DataFrame, delta: str = "price") -
     ``delta='log'`` cumulates log returns instead of price differences.
     """
 
-    limits = small_side(thresholds.select("symbol", "threshold"))
     # Joined before the rows are placed: a join after it could be split up for skew.
-    needed = columns_of(bars, "symbol", "ts", "uid", "close").join(limits, "symbol")
-    cut = split(needed, KEYS, ORDER)
+    needed = columns_of(bars, "symbol", "ts", "uid", "close")
+    cut = join_and_split(needed, thresholds.select("symbol", "threshold"), KEYS, ORDER)
     placed = cut if is_cut(cut) else cut.repartition(*KEYS)
     before = lagged(placed, KEYS, ORDER, "close", "_prev", True)
     close, prev = F.col("close"), F.col("_prev")

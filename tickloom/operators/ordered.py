@@ -104,6 +104,17 @@ def split(df: DataFrame, keys: Sequence[str], order: Sequence[str], checked: boo
     return df if total is None else runs(df, keys, order, total)
 
 
+def join_and_split(df: DataFrame, side: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` joined with one row per key, then cut if ``df`` needs it.
+
+    The size is measured before the join: the estimate of a join is a product, which would
+    ask for a count of the joined rows.
+    """
+    total = None if is_cut(df) else rows_to_split(df, keys)
+    joined = df.join(small_side(side), list(keys))
+    return joined if total is None else runs(joined, keys, order, total)
+
+
 def is_cut(df: DataFrame) -> bool:
     return PART in df.columns
 
