@@ -6,9 +6,9 @@ leading underscores, so extra columns of a table, whatever their names, stay out
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Drop the shuffle files of results that have been written: Spark does it once nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_bytes(column: str) -> F.Column:
     return F.col(f"`{column}`").cast("string").cast("binary")
 
@@ -74,16 +80,3 @@ def with_columns(
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*names, *extra])
 
     return batches(held, step, schema).toDF(*df.columns, *extra)
-
-
-def split_at(bounds: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Slices of equally long columns between consecutive bounds."""
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        yield tuple(c[lo:hi] for c in columns)
-
-
-def runs(keys: np.ndarray) -> np.ndarray:
-    """Bounds of the runs of equal values in a sorted array."""
-    if not len(keys):
-        return np.zeros(1, np.int64)
-    return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bitslice, langid, simhash, warc
+from tickloom.llm import bitslice, decontaminate, langid, licenses, mixing, phrases, resample, simhash, substrings, warc
 from tickloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,43 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op2_substring_dedup",
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+    ), w AS (
+        SELECT doc_id, p, array_to_string(words[p:p + 34], ' ') AS s
+        FROM d, unnest(generate_series(1, len(words) - 34)) t(p)
+    ), f AS (
+        SELECT doc_id, p, count(*) OVER (PARTITION BY s) > 1 AS again FROM w
+    ), u AS (
+        SELECT d.doc_id, q, words[q] AS word,
+               coalesce(bool_or(f.again) OVER (PARTITION BY d.doc_id ORDER BY q ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS gone
+        FROM d CROSS JOIN unnest(generate_series(1, len(words))) t(q) LEFT JOIN f ON f.doc_id = d.doc_id AND f.p = q
+    ), g AS (
+        SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (NOT gone) AS kept
+        FROM u GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN g USING (doc_id)
+    """,
+)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.cut_counts(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query("op4_benchmark_decontamination")
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op5_exact_top_k",
     """
@@ -77,3 +114,44 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_near_dedup")
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_suffix_array_dedup",
+    """
+    WITH d AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), n AS (
+        SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n_bytes FROM d
+    ), w AS (
+        SELECT doc_id, p, substring(h, 2 * p + 1, 200) AS s FROM n, unnest(range(n_bytes - 99)) t(p)
+    ), f AS (
+        SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS again FROM w
+    ), u AS (
+        SELECT n.doc_id, q, substring(h, 2 * q + 1, 2) AS byte,
+               coalesce(bool_or(f.again) OVER (PARTITION BY n.doc_id ORDER BY q ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone
+        FROM n CROSS JOIN unnest(range(n_bytes)) t(q) LEFT JOIN f ON f.doc_id = n.doc_id AND f.p = q
+    ), e AS (
+        SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY q), false) AS opens FROM u
+    ), g AS (
+        SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+               string_agg(byte, '' ORDER BY q) FILTER (NOT gone) AS kept
+        FROM e GROUP BY doc_id
+    )
+    SELECT n.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM n LEFT JOIN g USING (doc_id)
+    """,
+)
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.cut_lengths(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op10_source_mixing")
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
