@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +91,28 @@ Layout = list[tuple[str, str]]
 
 
 def pack(columns: dict[str, np.ndarray], layout: Layout) -> bytes:
-    return b"".join(columns[name].astype(kind).tobytes() for name, kind in layout)
+    """Columns one after the other, bytes of equal weight together, compressed; starts as differences.
+
+    Entries stay in the order of their documents, so all but the names take little room.
+    """
+    parts = []
+    for name, kind in layout:
+        values = columns[name].astype(kind)
+        if name == "at":
+            values = np.diff(values, prepend=values[:0].dtype.type(0))
+        parts.append(values if name in ("g", "name") else np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T))
+    return len(columns[layout[0][0]]).to_bytes(8, "little") + zstandard.compress(b"".join(p.tobytes() for p in parts), 1)
 
 
 def unpack(blob: bytes, layout: Layout) -> dict[str, np.ndarray]:
-    n, at, out = len(blob) // sum(np.dtype(k).itemsize for _, k in layout), 0, {}
+    n, raw, at, out = int.from_bytes(blob[:8], "little"), zstandard.decompress(blob[8:]), 0, {}
     for name, kind in layout:
-        out[name] = np.frombuffer(blob, kind, n, at)
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        held = np.frombuffer(raw, np.uint8, n * width, at)
+        at += n * width
+        out[name] = (held if name in ("g", "name") else np.ascontiguousarray(held.reshape(width, n).T).ravel()).view(kind)
+        if name == "at":
+            out[name] = np.cumsum(out[name], dtype=kind)
     return out
 
 
@@ -110,23 +125,26 @@ def taken(columns: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndar
 
 
 def merged(entries: dict[str, np.ndarray], name: str) -> dict[str, np.ndarray]:
-    """One entry for each value of ``name``: the one of the first (id, tag, at), with the sum of ``n``."""
+    """One entry for each value of ``name``: the one of the first (id, tag, at), with the sum of ``n``; order is kept."""
     order = np.argsort(entries[name], kind="stable")
-    held = taken(entries, order)
+    values = entries[name][order]
     first = np.ones(len(order), bool)
-    first[1:] = held[name][1:] != held[name][:-1]
-    group = np.cumsum(first) - 1
+    first[1:] = values[1:] != values[:-1]
     if first.all():
-        return held
-    total = np.bincount(group, weights=held["n"]).astype(np.int64)
+        return entries
+    group = np.cumsum(first) - 1
+    total = np.bincount(group, weights=entries["n"][order]).astype(np.int64)
     several = np.flatnonzero(np.bincount(group)[group] > 1)
-    ranked = several[np.lexsort((held["at"][several], held["tag"][several], held["id"][several], group[several]))]
+    rows = order[several]
+    ranked = several[np.lexsort((entries["at"][rows], entries["tag"][rows], entries["id"][rows], group[several]))]
     lead = np.flatnonzero(first)
     opens = np.ones(len(ranked), bool)
     opens[1:] = group[ranked][1:] != group[ranked][:-1]
     lead[group[ranked[opens]]] = ranked[opens]
-    out = taken(held, lead)
-    out["n"] = total
+    chosen = order[lead]
+    back = np.argsort(chosen)
+    out = taken(entries, chosen[back])
+    out["n"] = total[back]
     return out
 
 

@@ -44,6 +44,9 @@ class WordWindows(Sequence):
         digest = xxhash.xxh64_intdigest
         return np.array([digest(w) for w in text.split()], np.uint64)
 
+    def size(self, text: bytes) -> int:
+        return len(text.split())
+
     def kept(self, text: bytes, keep: np.ndarray) -> bytes:
         words = text.split()
         return b" ".join(words) if keep.all() else b" ".join([w for w, k in zip(words, keep.tolist()) if k])
@@ -70,7 +73,7 @@ def _seed_entries(rule: WordWindows, column: str):
 def _recurring(parts: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], int]:
     held = names.merged(names.joined(parts, WINDOW), "name")
     held = names.taken(held, np.flatnonzero(held["n"] > 1))
-    return held, int(held["n"].sum())
+    return names.taken(held, np.argsort(held["name"], kind="stable")), int(held["n"].sum())
 
 
 def _routed(entries: dict[str, np.ndarray], known: dict[str, np.ndarray]) -> pa.RecordBatch | None:

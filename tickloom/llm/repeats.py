@@ -49,9 +49,15 @@ class Sequence:
         """A random-looking value for each unit."""
         raise NotImplementedError
 
+    def size(self, text: bytes) -> int:
+        raise NotImplementedError
+
     def kept(self, text: bytes, keep: np.ndarray) -> bytes:
         raise NotImplementedError
 
+    def seed_names(self, named: Named) -> np.ndarray:
+        return mix(named.every(self.seed))
+
     def window_names(self, named: Named) -> np.ndarray:
         return mix(named.every(self.window))
 
@@ -61,7 +67,7 @@ def runs_of(values: np.ndarray, rule: Sequence, powers: Powers) -> Iterator[dict
     at = 0
     while at + rule.window <= len(values):
         named = Named(values[at : at + TILE], powers)
-        seeds = mix(named.every(rule.seed))
+        seeds = rule.seed_names(named)
         low = np.uint64(20)
         marked = (seeds >> low << low) | np.arange(len(seeds), dtype=np.uint64)
         place = (names.least_of(marked, rule.window - rule.seed + 1) & np.uint64(TILE - 1)).astype(np.int64)
@@ -199,7 +205,7 @@ RESULT = [
 
 
 def _finished(rule: Sequence, text: bytes | None, pairs: np.ndarray, with_text: bool) -> tuple:
-    n = len(rule.values(text or b""))
+    n = rule.size(text or b"")
     gone = _marked(n, pairs) if len(pairs) else np.zeros(n, bool)
     kept = rule.kept(text or b"", ~gone)
     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
@@ -261,7 +267,7 @@ def _window_entries(rule: Sequence) -> Callable[[pa.RecordBatch], Iterator[dict[
 def _rank_windows(parts: list[dict[str, np.ndarray]]) -> tuple[dict[str, np.ndarray], int]:
     held = names.merged(names.joined(parts, WINDOW), "name")
     held = names.taken(held, np.flatnonzero(held["n"] > 1))
-    return held, int(held["n"].sum())
+    return names.taken(held, np.argsort(held["name"], kind="stable")), int(held["n"].sum())
 
 
 def _found_windows(rule: Sequence) -> Callable[[dict, dict], pa.RecordBatch | None]:

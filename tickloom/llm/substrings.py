@@ -3,7 +3,7 @@
 Ranks of byte strings of 25, 50 and 100 bytes: the rank of a longer string is that of the pair of
 two shorter ones, the second further on by the length so far. Pairs are sorted and ranked anew until a
 position is unique or its string has reached the threshold, 100 bytes. Ranking every byte of the corpus in Spark rows at
-each length would move many times the input, so positions are sparse: at 25 bytes one position
+each length would move many times the input, so positions are sparse: at 50 bytes one position
 stands for a run of neighbouring 100-byte strings (see ``repeats``), and single bytes are ranked,
 at 100, only where neighbourhoods recur in part. Pairs are formed where the text is; Spark deals and ranks them.
 """
@@ -28,26 +28,31 @@ class ByteStrings(Sequence):
 
     def __init__(self, window: int = 100) -> None:
         self.window = window
-        self.seed = max(1, window // 4)
+        self.seed = max(1, window // 2)
         self.table = byte_values()
 
     def values(self, text: bytes) -> np.ndarray:
         return self.table[np.frombuffer(text, np.uint8)]
 
+    def size(self, text: bytes) -> int:
+        return len(text)
+
     def kept(self, text: bytes, keep: np.ndarray) -> bytes:
         return np.frombuffer(text, np.uint8)[keep].tobytes()
 
-    def window_names(self, named: Named) -> np.ndarray:
-        """Ranks of the full length by doubling from a quarter of it."""
-        if self.window % 4:
-            return mix(named.every(self.window))
-        if len(named.sums) <= self.window:
+    def _ranks(self, named: Named, size: int) -> np.ndarray:
+        """Ranks by doubling, from an odd length up."""
+        if size % 2:
+            return mix(named.every(size))
+        if len(named.sums) <= size:
             return np.zeros(0, np.uint64)
-        made, size = mix(named.every(self.seed)), self.seed
-        while size < self.window:
-            made = doubled(made, size)
-            size *= 2
-        return made
+        return doubled(self._ranks(named, size // 2), size // 2)
+
+    def seed_names(self, named: Named) -> np.ndarray:
+        return self._ranks(named, self.seed)
+
+    def window_names(self, named: Named) -> np.ndarray:
+        return self._ranks(named, self.window)
 
 
 def cut_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100) -> DataFrame:
