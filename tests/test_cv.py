@@ -41,6 +41,16 @@ def test_no_training_label_overlaps_the_test_labels(spark):
         assert not overlap.any()
 
 
+def test_pooled_folds_leave_no_symbol_in_the_test_time_of_another(spark):
+    frame = samples(spark, {"A": 60, "B": 90}, 20)
+    got = cv.purged_folds(frame, pooled=True).toPandas()
+    assert len(got) == 5 * 150 and set(got["symbol"]) == {"A", "B"}
+    for _, fold in got.groupby("fold"):
+        test, train = fold[fold["role"] == "test"], fold[fold["role"] == "train"]
+        assert len(test) == 30
+        assert not ((train["t0"] < test["t1"].max()) & (train["t1"] > test["t0"].min())).any()
+
+
 @pytest.mark.parametrize("n", [5, 7, 12, 104, 3])
 def test_fold_sizes(spark, n):
     got = rows_of(cv.cv_fold_id(samples(spark, {"A": n}, 1), order=["t0"]), "t0")

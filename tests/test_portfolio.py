@@ -48,7 +48,38 @@ def test_equal_weights_without_variance(spark):
     assert [r["weight"] for r in portfolio.inverse_variance_weights(df).collect()] == [0.5, 0.5]
 
 
-def test_daily_rebalance_matches_the_single_day(spark, closes):
+def reference_weights(wide, day, days):
+    """Frame of the last closes of every symbol up to the day, aligned inside, then inverse variances."""
+    seen = wide.loc[:day].dropna(axis=1, how="all")
+    frame = pd.DataFrame({s: seen[s].dropna().tail(days) for s in seen})
+    inverse = 1 / reference_returns(frame).var().replace(0, np.nan)
+    if not inverse.notna().any():
+        return pd.Series(1 / len(seen.columns), seen.columns)
+    return (inverse / inverse.sum()).fillna(0)
+
+
+@pytest.mark.parametrize("days", [10, 120])
+def test_rebalance_with_late_flat_and_delisted_symbols(spark, closes, days):
+    wide = closes.assign(FLAT=5.0, NEW=np.nan, GONE=closes["A"] * 2)
+    wide.iloc[25:, wide.columns.get_loc("NEW")] = [1.0, 2.0, 1.5, 1.7, 1.2]
+    wide.iloc[8:, wide.columns.get_loc("GONE")] = np.nan
+    every = portfolio.rebalance_weights(to_long(spark, wide), days).toPandas()
+    assert every["as_of"].nunique() == 29
+    np.testing.assert_allclose(every.groupby("as_of")["weight"].sum(), 1)
+    for stamp in wide.index[1:]:
+        mine = every[every["as_of"] == stamp.date()].set_index("symbol")["weight"].sort_index()
+        wanted = reference_weights(wide, stamp, days).sort_index()
+        assert list(mine.index) == list(wanted.index)
+        np.testing.assert_allclose(mine, wanted, rtol=1e-9, atol=1e-12)
+
+
+def test_flat_symbol_gets_nothing(spark):
+    df = spark.createDataFrame([(s, r) for s, rs in {"A": (1.0, 2.0), "B": (1.0, 3.0), "F": (0.0, 0.0)}.items() for r in rs], "symbol string, ret double")
+    weights = {r["symbol"]: r["weight"] for r in portfolio.inverse_variance_weights(df).collect()}
+    assert weights == pytest.approx({"A": 0.8, "B": 0.2, "F": 0.0})
+
+
+def test_weights_of_one_day_match_the_series(spark, closes):
     df = to_long(spark, closes.drop(columns=["B"]))
     every = portfolio.rebalance_weights(df, days=10).toPandas()
     day = date(2024, 1, 25)

@@ -7,7 +7,7 @@ from check import compare, database, table
 
 SMALL = "/root/testdata/sf0.001"
 # These need more bars per symbol than the smallest tables have.
-LARGER = {"clean_features", "generate_features", "frac_diff"}
+LARGER = {"clean_features", "generate_features", "frac_diff", "bars_for_features", "features_at_events"}
 
 
 @pytest.fixture(scope="module")

@@ -99,6 +99,12 @@ def test_unreadable_file_is_skipped_and_reported(spark, tmp_path):
     assert not got["archived"].any()
 
 
+def test_an_empty_file_is_not_corrupt(spark, tmp_path):
+    pd.DataFrame({"symbol": pd.Series([], dtype=str)}).to_parquet(tmp_path / "empty.parquet")
+    got = quality.archive_inventory(spark, str(tmp_path), "symbol string").first()
+    assert (got["status"], got["rows"]) == ("TINY FILE", 0)
+
+
 def test_first_layout_wins(spark, tmp_path):
     for folder in ("data/A/parquet", "A/parquet", "B/parquet"):
         (tmp_path / folder).mkdir(parents=True)

@@ -50,25 +50,28 @@ def cv_fold_id(
 
 
 def purged_folds(
-    samples: DataFrame, k: int = N_FOLDS, embargo: float = EMBARGO, key: str = "symbol"
+    samples: DataFrame, k: int = N_FOLDS, embargo: float = EMBARGO, key: str = "symbol", pooled: bool = False
 ) -> DataFrame:
     """Role of every sample in every fold: ``test``, ``train`` or ``purged``.
 
     ``samples`` carries ``symbol, t0, t1``.  A sample trains a fold when it ends no later
     than the fold's first test sample starts, or comes more than ``floor(embargo * n)`` rows
-    after the last sample starting before the test labels end.
+    after the last sample starting before the test labels end.  Folds are cut per symbol, for one model a symbol;
+    ``pooled`` cuts them on the time of all symbols together, for one model over all of them: then no symbol
+    trains on the time on which another is tested.
     """
+    group, order = ("_all", ["t0", key]) if pooled else (key, ["t0"])
     # Read several times below: written once, so that the labels are not made again each time.
-    written = reliable(samples.select(key, "t0", "t1"))
-    placed = _sized(written, [key], ["t0"]).withColumn("own_fold", fold_of(F.col("pos"), F.col("n"), k))
-    edges = placed.groupBy(key, F.col("own_fold").alias("fold")).agg(
+    written = reliable(samples.select(key, "t0", "t1", *([F.lit(0).alias("_all")] if pooled else [])))
+    placed = _sized(written, [group], order).withColumn("own_fold", fold_of(F.col("pos"), F.col("n"), k))
+    edges = placed.groupBy(group, F.col("own_fold").alias("fold")).agg(
         F.min("t0").alias("test_start"), F.max("t1").alias("test_end")
     )
     # ``edges`` has k rows per key, so both joins widen the samples k times, as the result does.
     edges = small_side(edges)
-    started = placed.join(edges, key).filter("t0 < test_end")
-    reach = started.groupBy(key, "fold").agg(F.max("pos").alias("reach"))
-    bounds = edges.join(reach, [key, "fold"], "left")
+    started = placed.join(edges, group).filter("t0 < test_end")
+    reach = started.groupBy(group, "fold").agg(F.max("pos").alias("reach"))
+    bounds = edges.join(reach, [group, "fold"], "left")
     after = F.coalesce("reach", F.lit(0)) + F.floor(embargo * F.col("n"))
     role = (
         F.when(F.col("own_fold") == F.col("fold"), "test")
@@ -76,4 +79,4 @@ def purged_folds(
         .when(F.col("pos") > after, "train")
         .otherwise("purged")
     )
-    return placed.join(small_side(bounds), key).select("fold", key, "t0", "t1", role.alias("role"))
+    return placed.join(small_side(bounds), group).select("fold", key, "t0", "t1", role.alias("role"))

@@ -32,10 +32,6 @@ FAST_WINDOW = 50
 SLOW_WINDOW = 200
 REGIME_WINDOW = 50
 
-# Rows after which an exponential weight of span <= 100 is below 1e-34, far under double
-# precision: a hot symbol's block needs no more history than this.
-DECAY_ROWS = 4096
-
 FEATURES = [
     "log_ret",
     "ewma_vol",
@@ -163,19 +159,66 @@ def fractional_weights(degree: float, cutoff: float) -> np.ndarray:
         weights.append(following)
 
 
-def ewm_std(values: pd.Series, span: int) -> np.ndarray:
-    return values.ewm(span=span).std().to_numpy()
+def decay_rows(keep: float) -> int:
+    """Rows after which a weight that shrinks by ``keep`` a row is zero in double precision."""
+    return int(np.ceil(746 / -np.log(keep))) if keep > 0 else 1
+
+
+def decayed_sum(values: np.ndarray, keep: float) -> np.ndarray:
+    """``s[t] = keep * s[t - 1] + values[t]``, a stretch at a time, each with the sum before it carried in."""
+    out = np.empty(len(values))
+    rows = max(1, int(30 / -np.log(keep))) if keep > 0 else 1
+    carried = 0.0
+    for lo in range(0, len(values), rows):
+        part = values[lo : lo + rows]
+        shrunk = keep ** np.arange(len(part) + 1)
+        out[lo : lo + rows] = np.cumsum(part / shrunk[:-1]) * shrunk[:-1] + carried * shrunk[1:]
+        carried = out[lo + len(part) - 1]
+    return out
+
+
+def ewm_keep(span: int) -> float:
+    return 1 - 2 / (span + 1)
 
 
-def wilder_rsi(close: pd.Series, window: int = RSI_WINDOW) -> np.ndarray:
-    change = close.diff()
-    smooth = {"alpha": 1 / window, "min_periods": window, "adjust": False}
-    gain = change.where(change > 0, 0.0).ewm(**smooth).mean()
-    loss = (-change.where(change < 0, 0.0)).ewm(**smooth).mean()
+def ewm_std(values: np.ndarray, span: int) -> np.ndarray:
+    """Bias-corrected exponential deviation; a missing value ages the others and adds nothing."""
+    keep = ewm_keep(span)
+    known = ~np.isnan(values)
+    if not known.any():
+        return np.full(len(values), np.nan)
+    # Taken from the first value: sums of squares of small numbers lose fewer digits.
+    x = np.where(known, values - values[known.argmax()], 0.0)
+    weight = decayed_sum(known.astype(float), keep)
+    squared = decayed_sum(known.astype(float), keep * keep)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = decayed_sum(x, keep) / weight
+        spread = np.maximum(decayed_sum(x * x, keep) / weight - mean * mean, 0.0)
+        factor = weight * weight / (weight * weight - squared)
+        return np.where(np.cumsum(known) > 1, np.sqrt(spread * factor), np.nan)
+
+
+def wilder_mean(values: np.ndarray, window: int) -> np.ndarray:
+    """Exponential mean with weight ``1 / window`` that starts at the first value; null before a full window."""
+    keep = 1 - 1 / window
+    out = decayed_sum(values / window, keep) + values[:1] * keep ** np.arange(1, len(values) + 1)
+    out[: window - 1] = np.nan
+    return out
+
+
+def wilder_rsi(close: np.ndarray, window: int = RSI_WINDOW) -> np.ndarray:
+    change = np.diff(close, prepend=close[:1])
+    gain = wilder_mean(np.where(change > 0, change, 0.0), window)
+    loss = wilder_mean(np.where(change < 0, -change, 0.0), window)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(loss == 0, 100.0, 100.0 - 100.0 / (1.0 + gain / loss))
 
 
+def simple_returns(close: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.concatenate([[np.nan], close[1:] / close[:-1] - 1])[: len(close)]
+
+
 def fractional_difference(close: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = np.full(len(close), np.nan)
     if len(close) >= len(weights):
@@ -238,11 +281,13 @@ def _per_group(
 
 def with_ewm_std(df: DataFrame, value: str, span: int, name: str) -> DataFrame:
     """Bias-corrected exponential standard deviation, null on the first observation."""
-    return _per_group(df, DECAY_ROWS, [name], lambda pdf: {name: ewm_std(pdf[value], span)})
+    compute = lambda pdf: {name: ewm_std(pdf[value].to_numpy(float), span)}
+    return _per_group(df, decay_rows(ewm_keep(span)), [name], compute)
 
 
 def with_rsi(df: DataFrame, window: int = RSI_WINDOW) -> DataFrame:
-    return _per_group(df, DECAY_ROWS, ["rsi"], lambda pdf: {"rsi": wilder_rsi(pdf["close"], window)})
+    compute = lambda pdf: {"rsi": wilder_rsi(pdf["close"].to_numpy(float), window)}
+    return _per_group(df, decay_rows(1 - 1 / window), ["rsi"], compute)
 
 
 def with_fractional_difference(
@@ -265,8 +310,8 @@ def with_entropy(df: DataFrame, window: int = ENTROPY_WINDOW) -> DataFrame:
 
 def with_volatility(bars: DataFrame, span: int = VOLATILITY_SPAN, name: str = "vol") -> DataFrame:
     """Exponential standard deviation of simple returns."""
-    compute = lambda pdf: {name: ewm_std(pdf["close"].pct_change(fill_method=None), span)}
-    return _per_group(bars, DECAY_ROWS, [name], compute)
+    compute = lambda pdf: {name: ewm_std(simple_returns(pdf["close"].to_numpy(float)), span)}
+    return _per_group(bars, decay_rows(ewm_keep(span)) + 1, [name], compute)
 
 
 def add_window_features(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -289,12 +334,12 @@ def generate_features(
     weights = fractional_weights(degree, cutoff)
 
     def arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        close = pdf["close"]
+        close = pdf["close"].to_numpy(float)
         return {
-            "ewma_vol": ewm_std(pdf["log_ret"], RETURN_SPAN),
+            "ewma_vol": ewm_std(pdf["log_ret"].to_numpy(float), RETURN_SPAN),
             "rsi": wilder_rsi(close),
-            "frac_close": fractional_difference(close.to_numpy(), weights),
-            "entropy": rolling_entropy(close.to_numpy()),
+            "frac_close": fractional_difference(close, weights),
+            "entropy": rolling_entropy(close),
         }
 
     def compute(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -308,7 +353,8 @@ def generate_features(
 
         return framed.groupBy(*keys).applyInPandas(grouped, schema)
 
-    return with_history(bars, KEYS, ORDER, max(DECAY_ROWS, len(weights)), compute)
+    longest = max(len(weights), decay_rows(ewm_keep(RETURN_SPAN)), decay_rows(1 - 1 / RSI_WINDOW))
+    return with_history(bars, KEYS, ORDER, longest, compute)
 
 
 # Columns of a feature frame that are not features.

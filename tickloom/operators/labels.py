@@ -83,7 +83,7 @@ def cusum_events(bars: DataFrame, thresholds: DataFrame, delta: str = "price") -
     placed = cut if is_cut(cut) else cut.repartition(*KEYS)
     before = lagged(placed, KEYS, ORDER, "close", "_prev", True)
     close, prev = F.col("close"), F.col("_prev")
-    moved = before.withColumn("delta", F.ln(close) - F.ln(prev) if delta == "log" else close - prev).drop("_prev")
+    moved = before.withColumn("delta", F.ln(F.try_divide(close, prev)) if delta == "log" else close - prev).drop("_prev")
     return fold_rows(moved, KEYS, ORDER, CUSUM_FOLD, placed=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP_SYMBOLS = 50
@@ -14,44 +14,66 @@ def top_universe(universe: DataFrame, n: int = TOP_SYMBOLS) -> DataFrame:
     return universe.filter(F.col("rank") < n)
 
 
+def _grid(closes: DataFrame, days: int) -> DataFrame:
+    """``symbol, k, date, ret, start`` for every symbol and every date from its first close on.
+
+    ``k`` numbers the dates of all symbols; a close is carried forward up to the next one; ``start`` is the number of
+    the first of the last ``days`` closes. Every close unfolds into the dates that it fills, so no
+    pairs of symbols and dates are made that are not in the result.
+    """
+    # One row per calendar date, so small windows.
+    dates = closes.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))
+    dates = dates.withColumn("_last", F.max("k").over(Window.partitionBy()))
+    past = Window.partitionBy("symbol").orderBy("k")
+    own = closes.filter(F.col("close").isNotNull()).join(dates, "date")
+    start = F.coalesce(F.lag("k", days - 1).over(past), F.first("k").over(past))
+    until = F.coalesce(F.lead("k").over(past) - 1, F.col("_last"))
+    placed = own.select("symbol", "close", F.col("k").alias("_k"), start.alias("start"), until.alias("_until"))
+    filled = placed.select("symbol", "close", "start", F.explode(F.sequence("_k", "_until")).alias("k"))
+    moved = filled.withColumn("ret", F.try_divide("close", F.lag("close").over(past)) - 1)
+    named = dates.select(F.col("k").alias("_day"), F.col("date").alias("_date"))
+    return moved.join(named, moved["k"] == named["_day"]).select(
+        "symbol", "k", F.col("_date").alias("date"), "ret", "start"
+    )
+
+
 def aligned_returns(closes: DataFrame) -> DataFrame:
     """Daily simple returns on dates where every symbol has one.
 
     ``closes`` is ``symbol, date, close``.  Gaps are filled forward first, so an interior
     gap is a zero return and only dates before a symbol's second close drop out.
     """
-    symbols = closes.select("symbol").distinct()
-    # The dates travel as one array value: one row per cell of the price matrix, which is
-    # the size of the result.
-    dates = closes.agg(F.collect_set("date").alias("_dates"))
-    cells = symbols.join(dates).select("symbol", F.explode("_dates").alias("date"))
-    grid = cells.join(closes, ["symbol", "date"], "left")
-    past = Window.partitionBy("symbol").orderBy("date")
-    filled = grid.withColumn("_close", F.last("close", ignorenulls=True).over(past))
-    returns = filled.withColumn("ret", F.try_divide("_close", F.lag("_close").over(past)) - 1)
-    total = symbols.agg(F.count(F.lit(1)).alias("_symbols"))
-    complete = returns.groupBy("date").agg(F.count("ret").alias("_known")).join(total)
-    keep = complete.filter("_known = _symbols").select("date")
-    return returns.join(keep, "date").select("symbol", "date", "ret")
+    grid = _grid(closes, LOOKBACK_DAYS)
+    total = closes.agg(F.count_distinct("symbol").alias("_symbols"))
+    known = grid.groupBy("date").agg(F.count("ret").alias("_known")).join(F.broadcast(total))
+    return grid.join(known.filter("_known = _symbols").select("date"), "date").select("symbol", "date", "ret")
 
 
 def pairwise_covariance(returns: DataFrame) -> DataFrame:
-    """Sample covariance for every ordered pair of symbols.
+    """Sample covariance for every ordered pair of symbols of a bounded universe (``top_universe``).
 
-    The pairs are the result itself (universe squared); dates carry one row per symbol, so
-    the join meets each pair once per day and sums before the shuffle.
+    Half of the pairs are computed, the others are their mirror images.
     """
     left = returns.select("date", F.col("symbol").alias("a"), F.col("ret").alias("ra"))
     right = returns.select("date", F.col("symbol").alias("b"), F.col("ret").alias("rb"))
-    return left.join(right, "date").groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
+    half = left.join(right, "date").filter("a <= b").groupBy("a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    )
+    return half.select(F.explode(sides).alias("_pair"), "cov").select("_pair.a", "_pair.b", "cov")
+
+
+def _shares(inverse: Column, total: Column, symbols: Column) -> Column:
+    """Shares of the known inverse variances; a symbol without one gets nothing, unless none is known."""
+    return F.when(total.isNull(), 1.0 / symbols).otherwise(F.coalesce(F.try_divide(inverse, total), F.lit(0.0)))
 
 
 def inverse_variance_weights(returns: DataFrame) -> DataFrame:
-    """Weights proportional to 1 / variance; equal weights where no variance is known."""
+    """Weights proportional to 1 / variance, which sum to one; equal weights where no variance is known."""
     inverse = returns.groupBy("symbol").agg(F.try_divide(F.lit(1.0), F.var_samp("ret")).alias("_inv"))
     totals = inverse.agg(F.sum("_inv").alias("_total"), F.count(F.lit(1)).alias("_n"))
-    weight = F.coalesce(F.try_divide("_inv", "_total"), 1.0 / F.col("_n"))
-    return inverse.join(totals).select("symbol", weight.alias("weight"))
+    weight = _shares(F.col("_inv"), F.col("_total"), F.col("_n"))
+    return inverse.join(F.broadcast(totals)).select("symbol", weight.alias("weight"))
 
 
 def weights_as_of(closes: DataFrame, as_of, days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -62,18 +84,27 @@ def weights_as_of(closes: DataFrame, as_of, days: int = LOOKBACK_DAYS) -> DataFr
 
 
 def rebalance_weights(closes: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
-    """Weights of every day, each from the trailing ``days`` daily returns up to it.
+    """Weights of every day, each from the last ``days`` closes of every symbol up to it.
 
-    A day on which no symbol has a variance yet keeps the equal weights.
+    Returns are aligned inside the frame of each day: a symbol that is new shortens the frames it is in
+    and leaves earlier days alone. A day on which no variance is known yet has equal weights; days before
+    anybody's second close have none.
     """
-    returns = aligned_returns(closes)
-    trail = Window.partitionBy("symbol").orderBy("date").rowsBetween(-(days - 2), 0)
-    inverse = returns.withColumn("_inv", F.try_divide(F.lit(1.0), F.var_samp("ret").over(trail)))
-    day = Window.partitionBy("date")
-    weight = F.coalesce(
-        F.try_divide("_inv", F.sum("_inv").over(day)), 1.0 / F.count(F.lit(1)).over(day)
+    grid = _grid(closes, days)
+    frames = grid.groupBy("k").agg(F.max("start").alias("_from"), F.count("ret").alias("_known")).filter("_known > 0")
+    # Dates on which a symbol has no return (its first close, or a close of zero before) are left out.
+    whole = grid.groupBy("k").agg(F.count("ret").alias("_rets"), F.count(F.lit(1)).alias("_rows")).filter("_rets = _rows")
+    spread = frames.filter("_from < k").select(
+        F.col("k").alias("_day"), F.explode(F.sequence(F.col("_from") + 1, F.col("k"))).alias("k")
+    )
+    inside = spread.join(whole.select("k"), "k").join(grid.select("symbol", "k", "ret"), "k")
+    inverse = inside.groupBy(F.col("_day").alias("k"), "symbol").agg(
+        F.try_divide(F.lit(1.0), F.var_samp("ret")).alias("_inv")
     )
-    return inverse.select(F.col("date").alias("as_of"), "symbol", weight.alias("weight"))
+    rows = grid.join(frames.select("k"), "k").join(inverse, ["k", "symbol"], "left")
+    day = Window.partitionBy("k")
+    weight = _shares(F.col("_inv"), F.sum("_inv").over(day), F.count(F.lit(1)).over(day))
+    return rows.select(F.col("date").alias("as_of"), "symbol", weight.alias("weight"))
 
 
 def needs_refresh(last_run, now, hours: int = REFRESH_HOURS) -> bool:

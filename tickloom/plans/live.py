@@ -24,37 +24,30 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.ticks_from_events(events)
 
 
-# Only what the watermark has passed is final; it stands at the last tick minus the delay.
-PASSED = """,
-mark AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 HOUR) AS wm FROM ticks)"""
-SETTLED = sql.TICKS.replace("ticks AS", "every_tick AS") + """,
-ticks AS MATERIALIZED (
-  SELECT * FROM every_tick WHERE ts < (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 HOUR) FROM every_tick))"""
-
-
 @query(
     "stream_imbalance_bars",
     sql.ask(
-        SETTLED + sql.imbalance_bars("SELECT DISTINCT symbol, 20000.0::DOUBLE AS threshold FROM ticks"),
+        sql.TICKS + sql.imbalance_bars("SELECT DISTINCT symbol, 20000.0::DOUBLE AS threshold FROM ticks"),
         market_data.BARS_OUT,
     ),
 )
 def stream_imbalance_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thresholds = market_data.fixed_thresholds(tables.ticks_events(spark, sf_dir))
-    bars = jobs.stream_imbalance_bars(tick_stream(spark, sf_dir), thresholds, DELAY)
-    return market_data._bars_out(jobs.drain(bars, "stream-bars", spark))
+    ticks, closing = jobs.with_closing(tick_stream(spark, sf_dir))
+    # The closing row needs a threshold to reach the watermark behind the join.
+    known = tables.ticks_events(spark, sf_dir)
+    thresholds = market_data.fixed_thresholds(known.unionByName(closing.rows(), allowMissingColumns=True))
+    bars = jobs.stream_imbalance_bars(ticks, thresholds, DELAY)
+    return market_data._bars_out(jobs.drain(bars, "stream-bars", spark, closing))
 
 
 @query(
     "stream_time_bars",
-    sql.ask(
-        f"{sql.TICKS}, {market_data.TIME_BARS.format(unit='minute')}" + PASSED,
-        "SELECT tb.* FROM tb, mark WHERE tb.ts + INTERVAL 1 MINUTE <= wm",
-    ),
+    sql.ask(f"{sql.TICKS}, {market_data.TIME_BARS.format(unit='minute')}", "SELECT tb.* FROM tb"),
 )
 def stream_time_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = jobs.stream_time_bars(tick_stream(spark, sf_dir), "1 minute", DELAY)
-    return jobs.drain(bars, "stream-time-bars", spark)
+    ticks, closing = jobs.with_closing(tick_stream(spark, sf_dir))
+    bars = jobs.stream_time_bars(ticks, "1 minute", DELAY)
+    return jobs.drain(bars, "stream-time-bars", spark, closing)
 
 
 @query(
@@ -86,6 +79,9 @@ def trend_score(bars: DataFrame) -> DataFrame:
     )
 
 
+trend_score.lookback = features.SLOW_WINDOW
+
+
 def _written_stream(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     frame.write.parquet(path)
@@ -108,14 +104,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/scores").select("symbol", "ts", "signal", r("conf"))
 
 
-@query(
-    "stream_order_intents",
-    sql.ask(
-        INTENTS.replace("acted AS (", "seen AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM eligible), acted AS ("),
-        "SELECT symbol, ts, action FROM acted, seen WHERE ts < date_trunc('millisecond', wm)",
-    ),
-)
+@query("stream_order_intents", sql.ask(INTENTS, "SELECT symbol, ts, action FROM acted"))
 def stream_order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = tables.signals_walk(spark, sf_dir)
-    stream = _written_stream(spark, signals, "signals")
-    return jobs.drain(jobs.stream_order_intents(stream, DELAY), "stream-intents", spark)
+    signals, closing = jobs.with_closing(_written_stream(spark, tables.signals_walk(spark, sf_dir), "signals"))
+    return jobs.drain(jobs.stream_order_intents(signals, DELAY), "stream-intents", spark, closing)

@@ -137,19 +137,25 @@ def rolling_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.with_entropy(bars(spark, sf_dir)).select("symbol", "uid", r("entropy"))
 
 
-ALL_FEATURES = (
-    sql.RSI
-    + sql.WINDOW_FEATURES
-    + sql.ewm("e50", "rets", "log_ret", 50)
-    + sql.frac(features.FRACTIONAL_DEGREE, features.FRACTIONAL_CUTOFF)
-    + sql.ENTROPY
-    + """,
+def _all_features(cutoff: float) -> str:
+    return (
+        sql.RSI
+        + sql.WINDOW_FEATURES
+        + sql.ewm("e50", "rets", "log_ret", 50)
+        + sql.frac(features.FRACTIONAL_DEGREE, cutoff)
+        + sql.ENTROPY
+        + """,
 allf AS MATERIALIZED (
   SELECT w.symbol, w.ts, w.uid, w.pos, w.log_ret, e.vol AS ewma_vol, s.rsi, w.bb_width, w.bb_position, f.frac_close,
          h.entropy, w.tick_rule, w.imbalance, w.cumulative_imbalance, w.ma_fast, w.ma_slow, w.trend_strength
   FROM wf w LEFT JOIN e50 e USING (symbol, pos) LEFT JOIN rsi s USING (symbol, pos)
   LEFT JOIN fracs f USING (symbol, pos) LEFT JOIN entropies h USING (symbol, pos))"""
-)
+    )
+
+
+ALL_FEATURES = _all_features(features.FRACTIONAL_CUTOFF)
+# The default weights are longer than the bars before most events of the test tables.
+EVENT_CUTOFF = 1e-3
 PLAIN = ["imbalance", "cumulative_imbalance", "tick_rule"]
 ROUNDED = [c for c in features.FEATURES if c not in PLAIN]
 FEATURES_OUT = f"SELECT symbol, uid, {', '.join(PLAIN)}, {rounded(6, *ROUNDED)} FROM allf"
@@ -188,17 +194,22 @@ def feature_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unpivot([], names, "feature", "known")
 
 
+WHOLE_ROWS = " AND ".join(f"{c} IS NOT NULL" for c in features.FEATURES)
+
+
 @query(
     "bars_for_features",
     sql.ask(
-        FEATURE_CTES,
-        "SELECT w.symbol, w.uid, w.close FROM walk w SEMI JOIN (SELECT * FROM wf WHERE ma_slow IS NOT NULL) f USING (symbol, pos)",
+        ALL_FEATURES,
+        f"SELECT w.symbol, w.uid, w.close FROM walk w SEMI JOIN (SELECT * FROM allf WHERE {WHOLE_ROWS}) f USING (symbol, pos)",
     ),
 )
 def bars_for_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose features survive cleaning."""
     frame = bars(spark, sf_dir)
-    usable = features.windowed(frame, features.add_trend, features.SLOW_WINDOW).filter("ma_slow is not null")
-    return frame.join(usable.select("symbol", "ts"), ["symbol", "ts"], "left_semi").select("symbol", "uid", "close")
+    usable = features.clean_features(features.generate_features(frame))
+    keys = ["symbol", "ts", "uid"]
+    return frame.join(usable.select(*keys), keys, "left_semi").select("symbol", "uid", "close")
 
 
 # --- splits ---------------------------------------------------------------------------------
@@ -261,6 +272,19 @@ def cusum_events_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.cusum_events(frame, labels.return_deviation(frame))
 
 
+@query(
+    "cusum_events_log",
+    sql.ask(
+        sql.CUSUM.replace("c.up + r.delta", "c.up + r.log_ret").replace("c.down + r.delta", "c.down + r.log_ret"),
+        "SELECT symbol, ts, uid, side FROM cevents",
+    ),
+)
+def cusum_events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log returns against the threshold on their own scale, so that moves add up before they cross it."""
+    frame = _valued(spark, sf_dir)
+    return labels.cusum_events(frame, labels.cusum_threshold(frame), delta="log")
+
+
 @query("vertical_barrier", sql.ask(sql.VERTICAL, "SELECT symbol, t0, v1 AS t1 FROM vert"))
 def vertical_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = _valued(spark, sf_dir)
@@ -341,16 +365,17 @@ def price_at_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "features_at_events",
     sql.ask(
-        sql.LABELS + sql.WINDOW_FEATURES,
-        f"""SELECT l.symbol, l.t0, l.bin, {rounded(6, 'ma_slow', 'trend_strength')}, f.cumulative_imbalance
-        FROM labelled l JOIN wf f ON f.symbol = l.symbol AND f.ts = l.t0 WHERE f.ma_slow IS NOT NULL""",
+        sql.LABELS + _all_features(EVENT_CUTOFF).removeprefix(sql.RETURNS),
+        f"""SELECT l.symbol, l.t0, l.bin, {', '.join(f'f.{c}' for c in PLAIN)}, {rounded(6, *ROUNDED)}
+        FROM labelled l JOIN (SELECT * FROM allf WHERE {WHOLE_ROWS}) f ON f.symbol = l.symbol AND f.ts = l.t0""",
     ),
 )
 def features_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = _valued(spark, sf_dir)
-    made = features.windowed(frame, features.add_window_features, features.SLOW_WINDOW).filter("ma_slow is not null")
+    made = features.clean_features(features.generate_features(frame, cutoff=EVENT_CUTOFF))
     joined = labels.features_at_events(_labels(frame), made)
-    return joined.select("symbol", "t0", "bin", r("ma_slow"), r("trend_strength"), "cumulative_imbalance")
+    have = set(joined.columns)
+    return joined.select("symbol", "t0", "bin", *(c for c in PLAIN if c in have), *(r(c) for c in ROUNDED if c in have))
 
 
 @query(
@@ -520,8 +545,8 @@ def pairwise_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "inverse_variance_weights",
     sql.ask(
-        sql.ALIGNED + ", inv AS (SELECT symbol, 1.0::DOUBLE / var_samp(ret) AS inv FROM aligned GROUP BY symbol)",
-        "SELECT symbol, round(inv / sum(inv) OVER (), 8) AS weight FROM inv",
+        sql.ALIGNED + ", inv AS (SELECT symbol, 1.0::DOUBLE / nullif(var_samp(ret), 0) AS inv FROM aligned GROUP BY symbol)",
+        "SELECT symbol, round(CASE WHEN sum(inv) OVER () IS NULL THEN 1.0::DOUBLE / count(*) OVER () ELSE coalesce(inv / sum(inv) OVER (), 0) END, 8) AS weight FROM inv",
     ),
 )
 def inverse_variance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -529,20 +554,41 @@ def inverse_variance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.inverse_variance_weights(returns).select("symbol", r("weight", 8))
 
 
-@query(
-    "rebalance_weights",
-    sql.ask(
-        sql.ALIGNED
-        + """, inv AS (SELECT symbol, date, 1.0::DOUBLE / nullif(var_samp(ret) OVER (PARTITION BY symbol ORDER BY date
-             ROWS 8 PRECEDING), 0) AS inv FROM aligned)""",
-        """SELECT CAST(date AS VARCHAR) AS as_of, symbol, round(coalesce(inv / sum(inv) OVER (PARTITION BY date),
-        1.0::DOUBLE / count(*) OVER (PARTITION BY date)), 8) AS weight FROM inv""",
-    ),
-)
+def _rebalance_sql(days: int) -> str:
+    return sql.ask(
+        sql.DAILY
+        + f""", dates AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM daily)),
+        own AS (SELECT symbol, k, close, coalesce(lag(k, {days - 1}) OVER w, first_value(k) OVER w) AS st
+                FROM daily JOIN dates USING (date) WINDOW w AS (PARTITION BY symbol ORDER BY k)),
+        cells AS (SELECT s.symbol, d.k, d.date FROM (SELECT DISTINCT symbol FROM daily) s, dates d),
+        filled AS (SELECT c.symbol, c.k, c.date, last_value(close IGNORE NULLS) OVER w AS close, last_value(st IGNORE NULLS) OVER w AS st
+                   FROM cells c LEFT JOIN own o ON o.symbol = c.symbol AND o.k = c.k
+                   WINDOW w AS (PARTITION BY c.symbol ORDER BY c.k ROWS UNBOUNDED PRECEDING)),
+        grid AS MATERIALIZED (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY k) - 1 AS ret FROM filled WHERE close IS NOT NULL),
+        frames AS (SELECT k, max(st) AS m FROM grid GROUP BY k HAVING count(ret) > 0),
+        inv AS (SELECT g.symbol, g.date, 1.0::DOUBLE / nullif(var_samp(h.ret), 0) AS inv
+                FROM frames f JOIN grid g ON g.k = f.k
+                LEFT JOIN grid h ON h.symbol = g.symbol AND h.k > f.m AND h.k <= f.k GROUP BY g.symbol, g.date)""",
+        """SELECT CAST(date AS VARCHAR) AS as_of, symbol, round(CASE WHEN sum(inv) OVER (PARTITION BY date) IS NULL
+        THEN 1.0::DOUBLE / count(*) OVER (PARTITION BY date)
+        ELSE coalesce(inv / sum(inv) OVER (PARTITION BY date), 0) END, 8) AS weight FROM inv""",
+    )
+
+
+def _rebalanced(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
+    weights = portfolio.rebalance_weights(tables.daily_close(spark, sf_dir), days)
+    return weights.select(F.col("as_of").cast("string").alias("as_of"), "symbol", r("weight", 8))
+
+
+@query("rebalance_weights", _rebalance_sql(portfolio.LOOKBACK_DAYS))
 def rebalance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rebalanced(spark, sf_dir, portfolio.LOOKBACK_DAYS)
+
+
+@query("rebalance_weights_short", _rebalance_sql(10))
+def rebalance_weights_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten closes, nine returns, so that the trailing frame moves within the month."""
-    weights = portfolio.rebalance_weights(tables.daily_close(spark, sf_dir), days=10)
-    return weights.select(F.col("as_of").cast("string").alias("as_of"), "symbol", r("weight", 8))
+    return _rebalanced(spark, sf_dir, 10)
 
 
 # --- scalar rules and scores ----------------------------------------------------------------
@@ -653,13 +699,12 @@ def latest_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "argmax_class",
-    """SELECT vec_id, CAST(list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS INTEGER) AS class FROM embeddings""",
+    """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS class FROM embeddings""",
 )
 def argmax_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three coordinates stand in for class scores."""
+    """Every coordinate stands in for a class score."""
     vectors = tables.read_table(spark, sf_dir, "embeddings")
-    scores = F.slice("embedding", 1, 3)
-    return vectors.select("vec_id", scoring.argmax_class(scores).alias("class"))
+    return vectors.select("vec_id", scoring.argmax_class(F.col("embedding")).alias("class"))
 
 
 @query(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.bars import BAR_SCHEMA, IMBALANCE_START, imbalance_step
@@ -85,8 +87,11 @@ def score_batches(
     ``score`` maps bars to rows with ``symbol, ts, signal, conf``.  A batch keeps the last
     ``rows_needed`` bars per symbol for the next one, so its cost does not grow with the
     age of the stream.  Output goes under the batch number: a repeated batch replaces
-    itself, and the history it starts from is that of the batch before.
+    itself, and the history it starts from is that of the batch before.  A ``score`` that says how
+    many rows it looks back on, in an attribute ``lookback``, is refused if that is more than is kept.
     """
+    if getattr(score, "lookback", 0) > rows_needed:
+        raise ValueError(f"the score looks back on {score.lookback} bars, {rows_needed} are kept")
     columns = new_bars.columns
 
     def run(batch: DataFrame, number: int) -> None:
@@ -139,18 +144,65 @@ def stream_order_intents(signals: DataFrame, delay: str, least_conf: float = LIV
 # --- running to the end of the available input ----------------------------------------------
 
 
-def drain(stream: DataFrame, label: str, spark: SparkSession) -> DataFrame:
-    """Process everything available into a Parquet table in the shared folder and read it."""
+# No symbol of the data; far enough ahead for every watermark to pass the last row, and within nanoseconds.
+CLOSING_SYMBOL = "#end"
+CLOSING_TIME = "2200-01-01 00:00:00"
+
+
+@dataclass
+class Closing:
+    """A second source of a stream, empty until the end: one row that moves the watermark past all others."""
+
+    spark: SparkSession
+    schema: T.StructType
+    path: str
+
+    def rows(self) -> DataFrame:
+        """The closing row: the reserved symbol, the far time, and one in every number."""
+        known = {"symbol": F.lit(CLOSING_SYMBOL), "ts": F.lit(CLOSING_TIME)}
+        numbers = (T.NumericType,)
+        return self.spark.range(1).select(
+            *(
+                known.get(f.name, F.lit(1) if isinstance(f.dataType, numbers) else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in self.schema
+            )
+        )
+
+    def arrive(self) -> None:
+        self.rows().write.mode("append").parquet(self.path)
+
+
+def with_closing(stream: DataFrame) -> tuple[DataFrame, Closing]:
+    """``stream`` and its closing source, to be passed to ``drain``; apply it before the watermark."""
+    spark = stream.sparkSession
+    closing = Closing(spark, stream.schema, fresh_path(spark, "closing"))
+    closing.rows().limit(0).write.parquet(closing.path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(closing.path)), closing
+
+
+def drain(stream: DataFrame, label: str, spark: SparkSession, closing: Closing | None = None) -> DataFrame:
+    """Process everything available into a Parquet table in the shared folder and read it.
+
+    Without ``closing`` the rows that the watermark has not passed stay in the state. With it the stream is
+    resumed once more with the closing row, so the table is that of the whole input.
+    """
     root = fresh_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{root}/rows")
-        .option("checkpointLocation", f"{root}/progress")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{root}/rows")
+            .option("checkpointLocation", f"{root}/progress")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    if closing is not None:
+        closing.arrive()
+        run()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
