@@ -86,7 +86,7 @@ def test_bytes_across_tiles_and_salts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "TILE", 64)
     monkeypatch.setattr(names, "FLUSH", 50)
     monkeypatch.setattr(names, "BLOB", 4)
-    monkeypatch.setattr(names, "salts_of", lambda settled: {b: 3 for b in range(0, 8, 2)})
+    monkeypatch.setattr(names, "salts_of", lambda settled: {b: 3 for b in range(0, 64, 2)})
     rows = texts_of(4)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in substrings.cut_lengths(docs, window=20).collect()}

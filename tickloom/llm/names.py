@@ -25,6 +25,7 @@ TILE = 1 << 20  # units that are named at a time
 FLUSH = 1 << 19  # entries that a task merges before it deals them
 BLOB = 1 << 13  # entries of a packed row at most
 PER_BUCKET = 1_000_000  # entries meant for a bucket
+LEAST_BUCKETS = 64  # a document meets at most so many buckets until the corpus needs more
 PACKED = "bucket long, salt int, kind int, blob binary"
 
 
@@ -153,7 +154,7 @@ def same_place(left: dict[str, np.ndarray], right: dict[str, np.ndarray]) -> np.
 
 
 def bucket_count(entries: float) -> int:
-    return max(8, int(-(-entries // PER_BUCKET)))
+    return max(LEAST_BUCKETS, int(-(-entries // PER_BUCKET)))
 
 
 def deal(
