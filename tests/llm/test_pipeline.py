@@ -34,7 +34,7 @@ def test_columns(steps):
 
 def test_language_keeps_what_the_model_supports(steps):
     docs, kept = steps[0], steps[1]
-    done = langid.predict(docs, langid.fit(docs)).where("lang_pred != 'und' and score >= 0.3")
+    done = langid.predict(docs, langid.fit(docs)).where("lang_pred != 'und' and score >= 0.2")
     assert rows(kept) == rows(done.select(*docs.columns))
     lost = {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()}
     assert {9001, 9002, 9003} <= lost and len(lost) <= 5
@@ -76,7 +76,7 @@ def test_leaks_go(spark, steps):
 
 def test_rates_mix(steps):
     made = steps[5].toPandas()
-    assert (made.rate > 0).all() and set(made.doc_id) <= {r.doc_id for r in steps[4].collect()}
+    assert (made.rate >= 0).all() and sorted(made.doc_id) == sorted(r.doc_id for r in steps[4].collect())
     shares = made[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
     np.testing.assert_allclose(shares.sum(axis=1), 1)
 

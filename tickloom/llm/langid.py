@@ -190,8 +190,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return done.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.2) -> DataFrame:
     """``docs`` without the rows whose language is unknown or whose score is below ``least``."""
-    done = predict(docs.withColumnsRenamed({}), fit(docs, text_col, lang_col), text_col)
+    done = predict(docs, fit(docs, text_col, lang_col), text_col)
     kept = done.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,13 +9,14 @@ vectors pass the driver, and the rate of a document is folded from them where it
 Steps are scaled by the document's tokens, so long and short texts of one posterior get one rate, and
 carried on with momentum, which short passes need when domains differ much in size.
 
-The classifier is a soft-max regression on hashed words, present or not, fitted on at most
-``SAMPLE_ROWS`` labelled rows.
+The classifier is a soft-max regression on words, present or not, fitted on at most ``SAMPLE_ROWS``
+labelled rows; its features are the ``FEATURES`` words that say most about the domains in these rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +29,35 @@ from pyspark.sql import Window as W
 from tickloom.llm.common import batches, id_and_text, with_columns, written
 
 FEATURES = 1 << 12
+LEAST_ROWS = 3  # labelled rows that a feature occurs in
 SAMPLE_ROWS = 4_000
 DOMAINS = {"toxic": "toxic = 1", "good": "quality = 1", "plain": "quality = 0"}
 TARGETS = {"toxic": 0.0, "good": 0.9, "plain": 0.1}
 
 
+@dataclass
+class Posteriors:
+    """``words``: sorted hashes of the features; ``weights``: feature by domain, the last row is the bias."""
+
+    words: np.ndarray
+    weights: np.ndarray
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[int]]:
+        scores, sizes = np.tile(self.weights[-1], (len(texts), 1)), []
+        for row, text in zip(scores, texts):
+            present, n = word_presence(text)
+            sizes.append(n)
+            if len(self.words):
+                spots = np.minimum(np.searchsorted(self.words, present), len(self.words) - 1)
+                row += self.weights[spots[self.words[spots] == present]].sum(axis=0)
+        return _softmax(scores), sizes
+
+
 def word_presence(text: bytes | None) -> tuple[np.ndarray, int]:
-    """Hashed words that occur, and the number of all words."""
+    """Sorted hashes of the words that occur, and the number of all words."""
     words = (text or b"").lower().split()
     digest = xxhash.xxh32_intdigest
-    return np.array(sorted({digest(w) % FEATURES for w in set(words)}), np.int64), len(words)
-
-
-def feature_row(spots: np.ndarray) -> np.ndarray:
-    row = np.zeros(FEATURES, np.float32)
-    row[spots] = 1 / max(len(spots), 1) ** 0.5
-    return row
+    return np.unique(np.array([digest(w) for w in set(words)], np.uint32)), len(words)
 
 
 def labelled_domains(labels: DataFrame, domains: dict[str, str], rows: int, id_col: str = "doc_id") -> list[tuple[int, str]]:
@@ -57,9 +71,9 @@ def labelled_domains(labels: DataFrame, domains: dict[str, str], rows: int, id_c
 
 
 def fit_posteriors(
-    docs: DataFrame, pairs: list[tuple[int, str]], names: list[str], shares: np.ndarray, passes: int = 200, decay: float = 1e-3
-) -> np.ndarray:
-    """Weights, features and one bias by domains, of a soft-max regression on the labelled rows of ``docs(__id, __text)``.
+    docs: DataFrame, pairs: list[tuple[int, str]], names: list[str], shares: np.ndarray, passes: int = 150, decay: float = 2e-3
+) -> Posteriors:
+    """The regression on the labelled rows of ``docs(__id, __text)``; only their word sets reach the driver.
 
     The sample is even over the domains; the bias is moved back to their real ``shares``.
     """
@@ -67,38 +81,58 @@ def fit_posteriors(
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows = [
-            (known.value[i], np.packbits(feature_row(word_presence(t)[0]) > 0).tobytes())
+            (known.value[i], word_presence(t)[0].tobytes())
             for i, t in zip(batch.column("__id").to_pylist(), batch.column("__text").to_pylist())
             if i in known.value
         ]
         if not rows:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["domain", "bits"])
-
-    # A repeated id could bring any number of rows: distinct ones of one id count once.
-    found = batches(docs, step, "domain string, bits binary").distinct().limit(2 * SAMPLE_ROWS).collect()
-    weights = np.zeros((FEATURES + 1, len(names)))
-    if not found:
-        weights[-1] = np.log(np.maximum(shares, 1e-6))
-        return weights
-    bits = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in found]), axis=1).astype(np.float32)
-    x = bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
-    order = np.argsort([r["bits"] for r in found], kind="stable")
-    x = np.hstack([x[order], np.ones((len(x), 1), np.float32)])
-    y = np.array([[found[i]["domain"] == n for n in names] for i in order], np.float32)
-    # Nesterov's method on the mean log loss; rows have norm at most sqrt(2), so steps of one are safe.
-    ahead = weights.astype(np.float32)
-    last = ahead.copy()
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["domain", "words"])
+
+    # A repeated id could bring any number of rows: equal ones count once, and the number is bounded.
+    found = batches(docs, step, "domain string, words binary").distinct().orderBy(F.xxhash64("words"), "domain")
+    rows = found.limit(SAMPLE_ROWS).collect()
+    bias = np.log(np.maximum(shares, 1e-6))
+    if not rows:
+        return Posteriors(np.zeros(0, np.uint32), bias[None, :])
+    sets = [np.frombuffer(r["words"], np.uint32) for r in rows]
+    y = np.array([[r["domain"] == n for n in names] for r in rows], np.float32)
+    words = _telling(sets, y)
+    x = np.zeros((len(rows), len(words) + 1), np.float32)
+    x[:, -1] = 1
+    for row, present in zip(x, sets):
+        row[np.flatnonzero(np.isin(words, present, assume_unique=True))] = 1
+    # Nesterov's method on the mean log loss, with a step that the largest curvature allows.
+    probe = np.ones(x.shape[1], np.float32)
+    for _ in range(20):
+        probe = x.T @ (x @ probe)
+        probe /= np.linalg.norm(probe)
+    rate = 2 / (np.linalg.norm(x @ probe) ** 2 / len(x) + decay)
+    last = np.zeros((x.shape[1], len(names)), np.float32)
+    ahead = last
     for n in range(passes):
-        gradient = x.T @ (_softmax(x @ ahead) - y) / len(x) + decay * ahead / len(names)
-        now = ahead - 4 * gradient
+        now = ahead - rate * (x.T @ (_softmax(x @ ahead) - y) / len(x) + decay * ahead)
         ahead = now + n / (n + 3) * (now - last)
         last = now
+    weights = last.astype(np.float64)
     even = y.mean(axis=0)
-    seen = even > 0
-    last[-1, seen] += np.log(np.maximum(shares[seen], 1e-6)) - np.log(even[seen])
-    last[-1, ~seen] = -30
-    return last.astype(np.float64)
+    weights[-1] += np.where(even > 0, bias - np.log(np.maximum(even, 1e-6)), -30)
+    return Posteriors(words, weights)
+
+
+def _telling(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the words that tell most about the domains: mutual information of presence and domain."""
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    present = np.stack([np.bincount(place, weights=y[owner, k], minlength=len(words)) for k in range(y.shape[1])], axis=1)
+    total, n = y.sum(axis=0), len(y)
+    gain = np.zeros(len(words))
+    for counts in (present, total - present):
+        expected = counts.sum(axis=1, keepdims=True) * total / n
+        gain += (counts * np.log(np.where(counts > 0, counts, 1) / np.where(counts > 0, expected, 1))).sum(axis=1)
+    gain[present.sum(axis=1) < LEAST_ROWS] = -1
+    best = np.lexsort((words, -gain))[:FEATURES]
+    return np.sort(words[best[gain[best] >= 0]])
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -106,18 +140,12 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return raised / raised.sum(axis=1, keepdims=True)
 
 
-def with_posteriors(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+def with_posteriors(docs: DataFrame, model: Posteriors, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__tokens`` (words) and ``__p`` (posterior of each domain)."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: list[bytes | None]) -> list[pa.Array]:
-        held, sizes = shared.value, []
-        scores = np.zeros((len(texts), held.shape[1]))
-        for row, text in zip(scores, texts):
-            spots, n = word_presence(text)
-            sizes.append(n)
-            row += held[spots].sum(axis=0) / max(len(spots), 1) ** 0.5 + held[-1]
-        made = _softmax(scores) if len(texts) else scores
+        made, sizes = shared.value.of(texts)
         return [pa.array(sizes, pa.int64()), pa.array(list(made), pa.list_(pa.float64()))]
 
     fields = [T.StructField("__tokens", T.LongType()), T.StructField("__p", T.ArrayType(T.DoubleType()))]
@@ -207,12 +235,12 @@ def with_rates(
     seen = {r["d"]: r["n"] for r in labels.groupBy(which.alias("d")).agg(F.count("*").alias("n")).collect()}
     counts = np.array([seen.get(n, 0) for n in names], float)
     shares = counts / counts.sum() if counts.sum() else np.full(len(names), 1 / len(names))
-    weights = fit_posteriors(id_and_text(docs, id_col, text_col), labelled_domains(labels, domains, SAMPLE_ROWS), names, shares)
+    model = fit_posteriors(id_and_text(docs, id_col, text_col), labelled_domains(labels, domains, SAMPLE_ROWS), names, shares)
     slim = docs.select(F.col(f"`{text_col}`").alias("__t"))
-    held = written(with_posteriors(slim, weights, "__t").select("__tokens", "__p"), "mixing")
+    held = written(with_posteriors(slim, model, "__t").select("__tokens", "__p"), "mixing")
     steps = solve_rates(held, np.array([targets.get(n, 0.0) for n in names]))
     # The texts are read again rather than kept: the posteriors of a second reading are the same.
-    made = with_posteriors(docs, weights, text_col)
+    made = with_posteriors(docs, model, text_col)
     columns, place = [f"__c{i}" for i in range(len(made.columns))], made.columns.index("__p")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
