@@ -31,6 +31,7 @@ from tickloom.llm.common import batches, id_and_text, with_columns, written
 FEATURES = 1 << 12
 LEAST_ROWS = 3  # labelled rows that a feature occurs in
 SAMPLE_ROWS = 4_000
+BLOCK = 1 << 14
 DOMAINS = {"toxic": "toxic = 1", "good": "quality = 1", "plain": "quality = 0"}
 TARGETS = {"toxic": 0.0, "good": 0.9, "plain": 0.1}
 
@@ -167,6 +168,29 @@ def folded(p: np.ndarray, steps: list[tuple[np.ndarray, float]]) -> tuple[np.nda
     return rate, ahead
 
 
+def _in_blocks(held: DataFrame) -> DataFrame:
+    """Tokens and posteriors of up to ``BLOCK`` documents in a row, for the many passes over them."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, shares, rows = [], [], 0
+
+        def close() -> pa.RecordBatch:
+            packed = [b"".join(tokens)], [b"".join(shares)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in packed], names=["tokens", "p"])
+
+        for batch in stream:
+            tokens.append(np.asarray(batch.column("__tokens")).astype(float).tobytes())
+            shares.append(np.asarray(batch.column("__p").flatten()).tobytes())
+            rows += batch.num_rows
+            if rows >= BLOCK:
+                yield close()
+                tokens, shares, rows = [], [], 0
+        if rows:
+            yield close()
+
+    return held.select("__tokens", "__p").mapInArrow(run, "tokens binary, p binary")
+
+
 def solve_rates(
     held: DataFrame, targets: np.ndarray, passes: int = 80, tolerance: float = 1e-4
 ) -> list[tuple[np.ndarray, float]]:
@@ -176,17 +200,17 @@ def solve_rates(
     all tokens, when three passes change no more than a hundredth of it, or after ``passes``.
     """
     size = len(targets)
-    slim = held.select("__tokens", "__p")
+    blocks = written(_in_blocks(held), "mixing")
 
     def total(make: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = np.zeros(width)
             for batch in stream:
-                p = np.asarray(batch.column("__p").flatten()).reshape(-1, size)
-                made += make(p, np.asarray(batch.column("__tokens")).astype(float))
+                for tokens, p in zip(batch.column("tokens").to_pylist(), batch.column("p").to_pylist()):
+                    made += make(np.frombuffer(p).reshape(-1, size), np.frombuffer(tokens))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(made)], names=["k", "v"])
 
-        rows = slim.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        rows = blocks.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
         out = np.zeros(width)
         for r in rows:
             out[r["k"]] = r["v"]
@@ -237,8 +261,7 @@ def with_rates(
     shares = counts / counts.sum() if counts.sum() else np.full(len(names), 1 / len(names))
     model = fit_posteriors(id_and_text(docs, id_col, text_col), labelled_domains(labels, domains, SAMPLE_ROWS), names, shares)
     slim = docs.select(F.col(f"`{text_col}`").alias("__t"))
-    held = written(with_posteriors(slim, model, "__t").select("__tokens", "__p"), "mixing")
-    steps = solve_rates(held, np.array([targets.get(n, 0.0) for n in names]))
+    steps = solve_rates(with_posteriors(slim, model, "__t"), np.array([targets.get(n, 0.0) for n in names]))
     # The texts are read again rather than kept: the posteriors of a second reading are the same.
     made = with_posteriors(docs, model, text_col)
     columns, place = [f"__c{i}" for i in range(len(made.columns))], made.columns.index("__p")
