@@ -155,3 +155,36 @@ def test_recent_bars_needs_enough_rows(spark):
     df = ticks(spark, [(1, 1)] * 5).union(ticks(spark, [(1, 1)] * 2, "B"))
     got = archive.recent_bars(df, "2024-03-05", days=1, least=5)
     assert {r["symbol"] for r in got.collect()} == {"A"}
+
+
+def test_plain_layouts_are_read_in_one_scan(spark, tmp_path):
+    def put(folder, price):
+        (tmp_path / folder).mkdir(parents=True)
+        rows = pd.DataFrame({"timestamp": pd.to_datetime(["2024-01-02 15:00"]).astype("datetime64[us]"), "price": [price], "size": [3]})
+        rows.to_parquet(tmp_path / folder / "part.parquet")
+
+    for folder, price in (("data/A/parquet", 1.0), ("A/parquet", 2.0), ("B/parquet", 3.0)):
+        put(folder, price)
+    got = archive.scan_tick_archive(spark, str(tmp_path))
+    assert sorted((r["symbol"], r["price"], r["volume"]) for r in got.collect()) == [("A", 1.0, 3.0), ("B", 3.0, 3.0)]
+
+
+def test_bar_files_take_their_symbol_from_the_path(spark, tmp_path):
+    for symbol in "AB":
+        (tmp_path / symbol / "bars").mkdir(parents=True)
+        rows = pd.DataFrame({"timestamp": pd.to_datetime(["2024-01-02 15:00"]).astype("datetime64[us]"), "close": [1.0]})
+        rows.to_parquet(tmp_path / symbol / "bars" / f"{symbol}_dollar_bars.parquet")
+    assert sorted(r["symbol"] for r in archive.load_bars(spark, str(tmp_path)).collect()) == ["A", "B"]
+
+
+def test_status_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    symbols = spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string")
+    for rows in ([("A", "active", date(2024, 1, 2)), ("B", "active", date(2024, 1, 3))], [("A", "archived", date(2024, 1, 4))]):
+        archive.append_status(spark, spark.createDataFrame(rows, "symbol string, status string, last_date date"), path)
+    log = spark.read.parquet(path)
+    assert sorted(log.select("seq").distinct().toPandas()["seq"]) == [1, 2]
+    left = sorted(tuple(r) for r in archive.symbols_to_load(symbols, log).collect())
+    assert left == [("B", "active", date(2024, 1, 3)), ("C", "pending", None)]
+    with pytest.raises(Exception, match="unknown status"):
+        archive.append_status(spark, spark.createDataFrame([("A", "lost", None)], "symbol string, status string, last_date date"), path)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions.clean import normalize_columns
-from tickloom.operators.ordered import keep_first
+from tickloom.operators.ordered import keep_first, small_side
 
 RETENTION_DAYS = 365
 RECENT_DAYS = 365
@@ -63,10 +63,33 @@ def write_archive(ticks: DataFrame, root: str, as_of, days: int = RETENTION_DAYS
     placed.write.mode("overwrite").partitionBy("symbol", "date").option("compression", "snappy").parquet(root)
 
 
+def _with_symbol(spark: SparkSession, root: str, folder: str) -> DataFrame:
+    """Parquet under ``root`` with a ``symbol``, from the rows, from ``symbol=`` folders or from ``[data/]<symbol>/<folder>/``.
+
+    Where a symbol has files in both plain layouts those under ``data/`` count.
+    """
+    place = rf"(data/)?([^/=]+)/{folder}/[^/]+$"
+
+    def placed(df: DataFrame, path: str) -> DataFrame:
+        return df.withColumns(
+            {"symbol": F.regexp_extract(path, place, 2), "_first": F.length(F.regexp_extract(path, place, 1)) > 0}
+        )
+
+    def below(reader: DataFrameReader) -> DataFrameReader:
+        return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+
+    files = placed(below(spark.read.format("binaryFile")).load(root).select("path"), "path").filter("symbol != ''")
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    if files.isEmpty():
+        return reader.parquet(root)
+    kept = files.groupBy("symbol").agg(F.max("_first").alias("_first"))
+    rows = placed(below(reader).parquet(root).withColumn("_path", F.col("_metadata.file_path")), "_path").filter("symbol != ''")
+    return rows.join(small_side(kept), ["symbol", "_first"], "left_semi").drop("_path", "_first")
+
+
 def scan_tick_archive(spark: SparkSession, root: str) -> DataFrame:
     """Every readable archive file under ``root`` as ticks; ``symbol`` comes from the path."""
-    archive = spark.read.option("ignoreCorruptFiles", "true").parquet(root)
-    ticks = normalize_columns(archive, volume=True)
+    ticks = normalize_columns(_with_symbol(spark, root, "parquet"), volume=True)
     ticks = ticks.withColumnRenamed("timestamp", "ts")
     kinds = dict(ticks.dtypes)
     if kinds["ts"] == "bigint":  # nanoseconds since the epoch
@@ -100,8 +123,8 @@ def write_bars(bars: DataFrame, root: str) -> None:
 
 
 def load_bars(spark: SparkSession, root: str) -> DataFrame:
-    """Bars with a naive UTC ``ts``, whether it was stored as time or as nanoseconds."""
-    bars = spark.read.parquet(root)
+    """Bars with a naive UTC ``ts``, whether it was stored as time or as nanoseconds; one file a symbol or partitioned."""
+    bars = _with_symbol(spark, root, "bars")
     if "timestamp" in bars.columns:
         bars = bars.withColumnRenamed("timestamp", "ts")
     if dict(bars.dtypes)["ts"] == "bigint":
@@ -117,6 +140,30 @@ def recent_bars(bars: DataFrame, as_of, days: int = RECENT_DAYS, least: int = MI
     return recent.join(enough.select("symbol"), "symbol", "left_semi")
 
 
+STATUSES = ("pending", "active", "archived")
+STATUS_LOG = "symbol string, status string, last_date date, seq bigint"
+
+
+def append_status(spark: SparkSession, updates: DataFrame, path: str) -> None:
+    """Append ``symbol, status, last_date`` to the log under ``path``, which is made on first use.
+
+    All rows of a call get the next number. One writer at a time; a status outside ``STATUSES`` fails the call.
+    """
+    known = F.col("status").isin(*STATUSES)
+    checked = F.when(known, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("unknown status "), "status")))
+    spark.createDataFrame([], STATUS_LOG).write.mode("append").parquet(path)
+    last = spark.read.schema(STATUS_LOG).parquet(path).agg(F.max("seq")).first()[0] or 0
+    rows = updates.select("symbol", checked.alias("status"), F.col("last_date").cast("date"), F.lit(last + 1).cast("bigint").alias("seq"))
+    rows.write.mode("append").parquet(path)
+
+
+def symbols_to_load(universe: DataFrame, log: DataFrame) -> DataFrame:
+    """Symbols that are not archived yet, with the last loaded date; those without a status are pending."""
+    now = universe.select("symbol").join(latest_status(log), "symbol", "left")
+    status = F.coalesce("status", F.lit("pending"))
+    return now.select("symbol", status.alias("status"), "last_date").filter(F.col("status") != "archived")
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """Current ``status, last_date`` per symbol from an append-only log ordered by ``seq``."""
     newest = F.max_by(F.struct("status", "last_date"), "seq").alias("now")
