@@ -32,7 +32,7 @@ SCALE = 256.0
 
 
 def whole_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, dims, v``: components times 256, rounded down; null and non-finite vectors are left out."""
+    """``id, dims, v``: components times 256, rounded down; rows with a null id or a null or non-finite vector are left out."""
     values = F.col(f"`{vector_col}`").cast("array<double>")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     held = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), values.alias("v")).where("id is not null and v is not null")
