@@ -114,6 +114,18 @@ def test_cut_texts_keep_columns_and_nulls(spark):
     assert substrings.cut_lengths(docs.limit(0)).count() == 0
 
 
+def test_word_names_are_those_of_the_words(monkeypatch):
+    rule = phrases.WordWindows()
+    text = b"\x0b a bb\ta  a\r\n\xc3\xa9 bb " + b"z" * 50 + b" a" * 40
+    words = text.split()
+    for tile in (1 << 20, 16):
+        monkeypatch.setattr(phrases, "TILE", tile)
+        named = rule.values(text)
+        assert len(named) == rule.size(text) == len(words)
+        assert len(set(named.tolist())) == len(set(words)) == len(set(zip(words, named.tolist())))
+    assert len(rule.values(b"")) == len(rule.values(b" \n ")) == 0
+
+
 @pytest.mark.parametrize("seed,size", [(5, 9), (6, 5)])
 def test_words_equal_plain(spark, seed, size):
     rows = texts_of(seed)

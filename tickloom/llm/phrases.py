@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tickloom.llm import names
 from tickloom.llm.common import released, written
-from tickloom.llm.names import Powers
+from tickloom.llm.names import TILE, Named, Powers, byte_values, mix
 from tickloom.llm.repeats import WINDOW, Sequence, remove_repeats, runs_of, with_identity
 
 SHARD_BYTES = 4_000_000
@@ -32,6 +32,32 @@ SEED = [("name", "u8")]
 ROUTE = [("name", "u8"), ("shard", "u4")]
 
 
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte after the last of every word."""
+    edges = np.diff(np.concatenate([[True], SPACE[np.frombuffer(text, np.uint8)], [True]]).view(np.int8))
+    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+
+
+def word_names(text: bytes, table: np.ndarray, powers: Powers) -> np.ndarray:
+    """A name for every word from its bytes, a tile of words at a time; a word longer than a tile is hashed whole."""
+    starts, ends = word_bounds(text)
+    raw, made, at = np.frombuffer(text, np.uint8), np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        lo = int(starts[at])
+        stop = int(np.searchsorted(ends, lo + TILE, side="right"))
+        if stop > at:
+            named = Named(table[raw[lo : ends[stop - 1]]], powers)
+            made[at:stop] = named.at(starts[at:stop] - lo, ends[at:stop] - lo)
+        else:
+            stop = at + 1
+            made[at] = xxhash.xxh64_intdigest(text[lo : ends[at]])
+        at = stop
+    return mix(made + mix((ends - starts).astype(np.uint64), 1), 2)
+
+
 class WordWindows(Sequence):
     """Texts as words between ASCII white space; every occurrence of a repeated window is removed."""
 
@@ -39,13 +65,15 @@ class WordWindows(Sequence):
 
     def __init__(self, window: int = 35, seed: int = 8) -> None:
         self.window, self.seed = window, min(seed, window)
+        self.tables: tuple[np.ndarray, Powers] | None = None  # made where it is used
 
     def values(self, text: bytes) -> np.ndarray:
-        digest = xxhash.xxh64_intdigest
-        return np.array([digest(w) for w in text.split()], np.uint64)
+        if self.tables is None:
+            self.tables = byte_values(), Powers()
+        return word_names(text, *self.tables)
 
     def size(self, text: bytes) -> int:
-        return len(text.split())
+        return len(word_bounds(text)[0])
 
     def kept(self, text: bytes, keep: np.ndarray) -> bytes:
         words = text.split()
