@@ -148,10 +148,11 @@ def located(texts: list[bytes | None], wanted: np.ndarray, rule: WordWindows, po
         if len(words) < rule.window:
             out.append(b"")
             continue
-        ends = [end - size for end, size in automaton.iter((b" %b " % b" ".join(words)).decode("latin-1"))]
-        # A match ends at the space after its last word, so it begins at the space before its first.
-        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-        out.append(np.unique(np.searchsorted(starts, np.array(ends, np.int64) + 1)).astype(np.uint32).tobytes() if ends else b"")
+        line = b" %b " % b" ".join(words)
+        # A match begins at the space before its first word, and the n-th space stands before the n-th word.
+        found = np.array([end - size + 1 for end, size in automaton.iter(line.decode("latin-1"))], np.int64)
+        spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        out.append(np.unique(np.searchsorted(spaces, found)).astype(np.uint32).tobytes())
     return out
 
 

@@ -117,8 +117,9 @@ def _run_entries(rule: Sequence, columns: list[str]) -> Callable[[pa.RecordBatch
         for doc, tag, text, allowed in _each(batch):
             for run in runs_of(rule.values(text), rule, powers[0]):
                 if allowed is not None:
-                    known = np.frombuffer(allowed, np.uint32)
-                    run = names.taken(run, np.flatnonzero(np.isin(run["spot"], known)))
+                    known = np.frombuffer(allowed, np.uint32)  # sorted
+                    near = np.minimum(np.searchsorted(known, run["spot"]), len(known) - 1)
+                    run = names.taken(run, np.flatnonzero(known[near] == run["spot"]))
                 n = len(run["at"])
                 run |= {"h": run["full"] & np.uint64(0xFFFFFFFF), "id": np.full(n, doc, np.int64), "tag": np.full(n, tag, np.int64)}
                 run |= {"n": np.ones(n, np.int64), "deal_by": run["full"]}
