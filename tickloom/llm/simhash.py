@@ -15,7 +15,7 @@ blocks, large ones look the possible neighbours up.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -197,10 +197,10 @@ def links(fps: DataFrame) -> DataFrame:
     return grouped.select("key", "slot", "sub", "fp").mapInArrow(_linked, "u long, v long")
 
 
-def _labels(prints: DataFrame) -> DataFrame:
+def labels(prints: DataFrame, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """``__fp, __group, component_id`` of every distinct fingerprint of ``prints(__fp, __sim_id)``."""
     fps = written(prints.groupBy(F.col("__fp").alias("fp")).agg(F.min("__sim_id").alias("least")), "simhash-distinct")
-    roots = components(links(fps.select("fp")))
+    roots = components(link(fps.select("fp")))
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left")
     named = written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("__group")), "simhash-roots")
     least = named.groupBy("__group").agg(F.min("least").alias("component_id"))
@@ -215,7 +215,7 @@ def with_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ided = docs.withColumn("__sim_id", F.col(f"`{id_col}`").cast("long"))
     marked = written(with_fingerprint(ided, text_col), "simhash")
-    return marked.join(_labels(marked.select("__fp", "__sim_id")), "__fp").drop("__sim_id")
+    return marked.join(labels(marked.select("__fp", "__sim_id")), "__fp").drop("__sim_id")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +223,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("__sim_id"), F.col(f"`{text_col}`").alias("__t"))
     prints = written(with_fingerprint(slim, "__t").select("__sim_id", "__fp"), "simhash")
     hexed = F.lpad(F.lower(F.hex("__fp")), 16, "0")
-    return prints.join(_labels(prints), "__fp").select(
+    return prints.join(labels(prints), "__fp").select(
         F.col("__sim_id").alias("doc_id"), hexed.alias("fingerprint"), "component_id"
     )
 
