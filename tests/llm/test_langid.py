@@ -58,3 +58,22 @@ def test_odd_rows(spark):
     nothing = langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
     assert langid.keep_known(docs.drop("score")).where("text is null or text = ''").count() == 0
+
+
+def test_unlearned_languages_and_noise_go_clean_texts_stay(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    odd = [(-1, "Городской совет вчера вечером решил построить новые школы у реки."),
+           (-2, "市議会は昨夜、川の近くに新しい学校を建てることを決めた。"), (-3, "Δεν ξέρω τι θα γίνει αύριο το πρωί στην πόλη."),
+           (-4, "a 12873 #### 9918273 ^^^^ 1827 %%"), (-5, "q9#8@1!")]
+    planted = docs.unionByName(spark.createDataFrame([(i, t, None) for i, t in odd], docs.schema))
+    kept = {r.doc_id for r in langid.keep_known(planted).select("doc_id").collect()}
+    assert not any(i < 0 for i in kept)
+    assert kept == {r.doc_id for r in langid.predict(docs, langid.fit(docs)).where("lang_pred != 'und'").collect()}
+    for unlearned in ("es", "fr"):
+        without = docs.withColumn("lang", F.when(F.col("lang") != unlearned, F.col("lang")))
+        left = langid.keep_known(without).join(docs.withColumnRenamed("lang", "true").drop("text"), "doc_id")
+        share = {r.true: r["count"] for r in left.groupBy("true").count().collect()}
+        all_ = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+        assert share.get(unlearned, 0) < 0.1 * all_[unlearned]
+        print(unlearned, share, all_)
+        assert all(share[k] > 0.99 * all_[k] for k in all_ if k != unlearned)

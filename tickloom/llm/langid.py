@@ -9,6 +9,10 @@ matrix. Ridge regression of 0/1 targets, one language against the rest, is solve
 Learning takes a bounded sample: at most ``per_class`` distinct texts for each language (the
 smallest text hashes) and ``landmarks`` of them as landmarks. Only their n-gram sets reach the
 driver. Prediction runs over every whole text in batched matrix products.
+
+The values of a text sum to 1 over the languages, so the largest says nothing of a text in none of them. A text
+is unfamiliar if fewer of its distinct n-grams are known from landmarks than ``SLACK`` times what all but
+``RARE`` of the learned rows reach, each of them held out: a landmark's own n-grams count if another one has them.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from tickloom.llm.common import as_bytes, batches, with_columns
 
 UNKNOWN = "und"
 CODES = 256 + (1 << 16) + (1 << 24)
+RARE, SLACK = 0.01, 0.9
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -57,13 +62,15 @@ def gram_set(text: bytes) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """``grams``: codes of the landmarks' n-grams; ``marks``: landmark by n-gram, 0 or 1; ``weights``: to languages."""
+    """``grams``: codes of the landmarks' n-grams; ``marks``: landmark by n-gram, 0 or 1; ``weights``: to languages;
+    ``least``: share of known n-grams under which a text is unfamiliar."""
 
     languages: list[str]
     grams: np.ndarray
     marks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    least: float = 0.0
 
     def lookup(self) -> np.ndarray:
         table = np.zeros(CODES, np.uint16)
@@ -79,7 +86,16 @@ class LanguageModel:
         return made[:, 1:]
 
     def scores(self, texts: list[bytes], table: np.ndarray) -> np.ndarray:
-        return kernel(self.presence(texts, table), self.marks.astype(np.float32)) @ self.weights + self.bias
+        return self.values(self.presence(texts, table))
+
+    def values(self, held: np.ndarray) -> np.ndarray:
+        return kernel(held, self.marks.astype(np.float32)) @ self.weights + self.bias
+
+    def familiar(self, texts: list[bytes], table: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Which texts, of presence ``held``, have a share of known n-grams of at least ``least``."""
+        known = held.sum(axis=1, dtype=np.float64)
+        new = [len(np.unique(np.concatenate([c[table[c] == 0] for c in gram_codes(t)]))) for t in texts]
+        return known >= self.least * (known + new)
 
 
 def kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -133,6 +149,9 @@ def fit(
     for row, text in zip(known, texts):
         row[np.searchsorted(grams, text[table[text]])] = 1
     marks = known[:landmarks]
+    held_out = known.sum(axis=1)
+    held_out[:landmarks] = (marks * (marks.sum(axis=0) > 1)).sum(axis=1)
+    least = SLACK * float(np.quantile(held_out / np.array([len(t) for t in texts]), RARE))
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     good = values > 1e-6 * max(values.max(), 1e-12)
     white = vectors[:, good] / np.sqrt(values[good])
@@ -142,18 +161,18 @@ def fit(
     centred = mapped - mean
     solved = np.linalg.solve(centred.T @ centred + ridge * np.eye(centred.shape[1]), centred.T @ (target - level))
     return LanguageModel(
-        languages, grams, marks.astype(np.uint8), (white @ solved).astype(np.float32), (level - mean @ solved).astype(np.float32)
+        languages, grams, marks.astype(np.uint8), (white @ solved).astype(np.float32), (level - mean @ solved).astype(np.float32), least
     )
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", block: int = 128) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", block: int = 128, strict: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the winner's regression value within 0 and 1).
 
-    A null text, one without a letter and any text under no model get ``und`` and 0. Equal
-    scores go to the language that sorts first. All rows and columns stay.
+    A null text, one without a letter and any text under no model get ``und`` and 0, and so do
+    unfamiliar texts where ``strict``. Equal scores go to the language that sorts first. All rows and columns stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by landmarks * max_grams bytes
     table: list[np.ndarray] = []
@@ -166,8 +185,12 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
             table.append(fitted.lookup())
         for lo in range(0, len(spots), block):
             part = spots[lo : lo + block]
-            made = fitted.scores([texts[i] for i in part], table[0])
-            for i, best, value in zip(part, made.argmax(axis=1), np.clip(made.max(axis=1), 0, 1)):
+            held = fitted.presence([texts[i] for i in part], table[0])
+            made = fitted.values(held)
+            fits = fitted.familiar([texts[i] for i in part], table[0], held) if strict else np.ones(len(part), bool)
+            for i, best, value, fit_ in zip(part, made.argmax(axis=1), np.clip(made.max(axis=1), 0, 1), fits):
+                if not fit_:
+                    continue
                 names[i], scores[i] = fitted.languages[best], float(value)
         return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
@@ -191,7 +214,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.2) -> DataFrame:
-    """``docs`` without the rows whose language is unknown or whose score is below ``least``."""
-    done = predict(docs, fit(docs, text_col, lang_col), text_col)
+    """``docs`` without the rows whose language is unknown, whose text is unfamiliar or whose score is below ``least``."""
+    done = predict(docs, fit(docs, text_col, lang_col), text_col, strict=True)
     kept = done.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
