@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.ordered import PART, SLOT, is_cut, small_side, split
-from tickloom.session import reliable
+from tickloom.session import fresh_path, reliable
 
 State = tuple[float, ...]
 Arrays = dict[str, np.ndarray]
@@ -138,7 +138,7 @@ def _fold_runs(cut: DataFrame, keys: list[str], fold: Fold, in_order: bool) -> D
     states = exits.withColumn(ENTRY, F.array(*map(F.lit, fold.initial))).withColumn(COLD, F.col(EXIT))
 
     while True:
-        chained = reliable(_chain(states, keys, fold))
+        chained = _measured(_chain(states, keys, fold))
         stale = chained.filter(F.col(EXIT).isNull())
         if stale.isEmpty():
             moved = chained.filter(~F.col(SAME)).select(*part_keys)
@@ -153,6 +153,13 @@ def _fold_runs(cut: DataFrame, keys: list[str], fold: Fold, in_order: bool) -> D
         emitted = reliable(kept.unionByName(redone.filter(~is_exit).drop(EXIT)))
 
 
+def _measured(states: DataFrame) -> DataFrame:
+    """``states`` written and read again: a checkpoint keeps the size estimate, which the joins of each pass multiply."""
+    path = fresh_path(states.sparkSession, "states")
+    states.write.parquet(path)
+    return states.sparkSession.read.schema(states.schema).parquet(path)
+
+
 def _chain(states: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
     """Entry each run should have, given the exits known so far; one row per run.
 
