@@ -1,7 +1,6 @@
 """Queries that fit models.
 
-They run the whole table with fewer trees than the library default, a shorter label
-horizon and a wider weight cut-off, since the test tables span one month.
+They run the whole table with the library's defaults: trees, folds, label horizon and weight cut-off.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.research import bars
 from tickloom.session import fresh_path
 
-RECIPE = pipeline.Recipe(cutoff=1e-4, days=2, settings=Settings(trees=10))
+RECIPE = pipeline.Recipe()
 NO_SAMPLES = "symbol string, t0 timestamp_ntz, bin int, pred int"
 
 
@@ -62,7 +61,7 @@ def model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tune_grid")
 def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, names = _samples(spark, sf_dir)
-    return models.tune_grid(samples, names, [Settings(trees=3, depth=2), Settings(trees=3, depth=4)], k=3)
+    return models.tune_grid(samples, names, [Settings(depth=2), Settings()])
 
 
 @query("importance_mdi")
@@ -74,7 +73,7 @@ def importance_mdi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("importance_mda")
 def importance_mda(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, names = _samples(spark, sf_dir)
-    return models.importance_mda(samples, names, Settings(trees=5), k=3)
+    return models.importance_mda(samples, names, RECIPE.settings)
 
 
 @query("model_registry")
@@ -83,8 +82,8 @@ def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, names = _samples(spark, sf_dir)
     root = fresh_path(spark, "models")
     size = samples.count()
-    for version, trees in (("2024-01-30_0900", 2), ("2024-01-31_0900", 4)):
-        primary = models.fit_primary(samples, names, settings=Settings(trees=trees))
+    for version, settings in (("2024-01-30_0900", Settings(depth=2)), ("2024-01-31_0900", RECIPE.settings)):
+        primary = models.fit_primary(samples, names, settings=settings)
         models.save_bundle(spark, root, "pooled", version, primary, None, size)
     primary, _ = models.load_bundle(spark, [f"{root}-absent", root], "pooled")
     predicted = primary.predict(models.as_doubles(samples, names)).groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
