@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bitslice, decontaminate, langid, licenses, mixing, phrases, resample, simhash, substrings, warc
+from tickloom.llm import bitslice, decontaminate, langid, licenses, lines, mixing, phrases, resample, simhash, substrings, warc
 from tickloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,27 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_source_mixing")
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_rates(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op11_line_dedup",
+    """
+    WITH s AS (
+        SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS space
+    ), d AS (
+        SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+    ), l AS (
+        SELECT doc_id, p, lines[p] AS line,
+               translate(trim(lines[p], space), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM d CROSS JOIN s CROSS JOIN unnest(generate_series(1, len(lines))) t(p)
+    ), k AS (
+        SELECT key, min(doc_id) AS lead FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > lead) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (lead IS NULL OR doc_id = lead), '')) AS kept_sha256
+    FROM l LEFT JOIN k USING (key)
+    GROUP BY doc_id
+    """,
+)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_counts(read_table(spark, sf_dir, "documents"))
