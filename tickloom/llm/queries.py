@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bitslice, decontaminate, langid, licenses, lines, mixing, phrases, resample, simhash, substrings, warc
+from tickloom.llm import bitslice, collocations, decontaminate, langid, licenses, lines, mixing, phrases, resample, simhash, substrings, warc
 from tickloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,45 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_counts(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_phrase_collocations",
+    r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), w AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+    ), g AS (
+        SELECT lang, size, unnest([array_to_string(ws[i:i + size - 1], ' ') for i in generate_series(1, len(ws) - size + 1)]) AS phrase
+        FROM w CROSS JOIN generate_series(1, 4) t(size)
+    ), f AS (
+        SELECT lang, phrase, size, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+    ), c AS (
+        SELECT lang, phrase, size, f, string_split(phrase, ' ') AS ws FROM f WHERE size > 1
+    ), cut AS (
+        SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, 2000000::HUGEINT * c.f // (l.f + r.f) AS score
+        FROM c CROSS JOIN generate_series(1, 3) t(k)
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')
+        WHERE k < c.size
+        QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+    ), inside AS (
+        SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(f) AS longer
+        FROM c CROSS JOIN generate_series(2, 3) t(s) CROSS JOIN unnest(generate_series(1, c.size - s + 1)) u(i)
+        WHERE s < c.size GROUP BY ALL
+    ), n AS (
+        SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+           phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM cut LEFT JOIN inside USING (lang, phrase) JOIN n USING (lang)
+    WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+    QUALIFY rank <= 2000
+    """,
+)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
