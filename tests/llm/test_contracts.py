@@ -17,8 +17,11 @@ COLUMNS = {
     "op8_suffix_array_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op9_quality_classifier": ["doc_id", "log_weight", "sample_key", "selected"],
     "op10_source_mixing": ["doc_id", "n_tokens", "p_toxic", "p_good", "p_plain", "rate"],
+    "op11_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    "op12_phrase_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op13_lexical_search": ["item_id", "rank", "doc_id", "score"],
 }
-A_ROW_EACH = {n for n in COLUMNS if n.split("_")[0] in ("op1", "op2", "op7", "op8", "op9", "op10")}
+A_ROW_EACH = {n for n in COLUMNS if n.split("_")[0] in ("op1", "op2", "op7", "op8", "op9", "op10", "op11")}
 
 
 @pytest.mark.parametrize("name", COLUMNS)
@@ -34,7 +37,7 @@ def test_query(spark, name):
         assert all(r.sound for r in rows)
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = entry.queries()
     assert set(COLUMNS) | {"pipeline"} <= set(names)
     assert {n for n in names if n.startswith("op") and n[2].isdigit()} == set(COLUMNS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bitslice, collocations, decontaminate, langid, licenses, lines, mixing, phrases, resample, simhash, substrings, warc
+from tickloom.llm import bitslice, collocations, decontaminate, langid, licenses, lines, mixing, phrases, resample, simhash, substrings, treap, warc
 from tickloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,19 +167,22 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), w AS (
         SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
     ), g AS (
-        SELECT lang, size, unnest([array_to_string(ws[i:i + size - 1], ' ') for i in generate_series(1, len(ws) - size + 1)]) AS phrase
-        FROM w CROSS JOIN generate_series(1, 4) t(size)
-    ), f AS (
+        SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+        FROM (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w) CROSS JOIN generate_series(1, 4) t(size)
+        WHERE i + size <= len(ws) + 1
+    ), f AS MATERIALIZED (
         SELECT lang, phrase, size, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
     ), c AS (
         SELECT lang, phrase, size, f, string_split(phrase, ' ') AS ws FROM f WHERE size > 1
+    ), part AS MATERIALIZED (
+        SELECT lang, phrase, f, k, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest
+        FROM c CROSS JOIN generate_series(1, 3) t(k) WHERE k < size
     ), cut AS (
-        SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, 2000000::HUGEINT * c.f // (l.f + r.f) AS score
-        FROM c CROSS JOIN generate_series(1, 3) t(k)
-        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
-        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')
-        WHERE k < c.size
-        QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+        SELECT p.lang, p.phrase, p.f AS a, l.f AS l, r.f AS r, 2000000::HUGEINT * p.f // (l.f + r.f) AS score
+        FROM part p
+        JOIN f l ON l.lang = p.lang AND l.phrase = p.first
+        JOIN f r ON r.lang = p.lang AND r.phrase = p.rest
+        QUALIFY row_number() OVER (PARTITION BY p.lang, p.phrase ORDER BY score, k) = 1
     ), inside AS (
         SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(f) AS longer
         FROM c CROSS JOIN generate_series(2, 3) t(s) CROSS JOIN unnest(generate_series(1, c.size - s + 1)) u(i)
@@ -196,3 +199,39 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+        FROM documents
+    ), s AS (
+        SELECT count(*) AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0
+    ), tf AS (
+        SELECT doc_id, len(ts) AS n, term, count(*) AS tf FROM (SELECT doc_id, ts, unnest(ts) AS term FROM d) GROUP BY ALL
+    ), df AS (
+        SELECT term, count(*) AS df FROM tf GROUP BY term
+    ), q AS (
+        SELECT item_id, term, count(*) AS repeats
+        FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+        GROUP BY ALL
+    ), scored AS (
+        SELECT item_id, doc_id,
+               sum(repeats * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT)
+                   * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS score
+        FROM q JOIN tf USING (term) JOIN df USING (term) CROSS JOIN s
+        GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+           doc_id, CAST(score AS BIGINT) AS score
+    FROM scored WHERE score > 0
+    QUALIFY rank <= 20
+    """,
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = treap.build_index(read_table(spark, sf_dir, "documents"))
+    return treap.search(index, read_table(spark, sf_dir, "benchmark"))
