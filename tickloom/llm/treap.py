@@ -239,7 +239,7 @@ Asked = list[tuple[int, list[bytes], np.ndarray]]
 
 def _met(index: Index, asked: DataFrame, groups: int, column: str, answer: Callable[[Asked, dict[str, bytes]], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``answer(items, shard)`` for each shard and each group of ``asked(q, terms, weights)``; the shard has ``column`` too."""
-    parts = max(1, index.shards.count() // 4)
+    parts = max(1, index.shards.count())
     spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     heads = asked.select(F.pmod("q", F.lit(groups)).alias("grp"), spread.alias("part"), F.lit(0).alias("kind"), "q", "terms", "weights", F.lit(None).cast("binary").alias("more"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
