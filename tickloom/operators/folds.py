@@ -9,8 +9,11 @@ guessed entry state.  Because a reset forgets the past, most runs leave with the
 exit state whatever they entered with.  Runs whose entry differs from the exit of the
 run before them are folded again from that exit until nothing changes; the first wrong
 run of each key becomes right in every pass, so the result always equals the serial
-fold.  A fold that knows how a run without a reset shifts its entry (``pass_through``)
-settles such runs without reading them again.
+fold.
+
+A fold that can say what a run does to every state it may be entered with (``transfer``) is done after two passes,
+however long the key: the first makes one function a run, these are applied one after the other to small rows, and the
+second folds the runs whose true entry is not the guessed one.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ Arrays = dict[str, np.ndarray]
 
 ENTRY = "_entry"
 EXIT = "_exit"
-COLD = "_cold"
+MAP = "_map"
 SAME = "_same"
 
 
@@ -44,26 +47,29 @@ class Fold:
     initial: State
     emits: T.StructType
     step: Callable[[State, Arrays], tuple[Arrays, State]]
-    # Given entry state and exit state reached from ``initial``: the true exit when the
-    # run cannot reset, else None.  Optional.
-    pass_through: Callable[[State, State], State | None] | None = field(default=None)
+    # The run as a function of its entry, as numbers, or None where that is not possible; and how to apply it. Optional.
+    transfer: Callable[[Arrays], Sequence[float] | None] | None = field(default=None)
+    through: Callable[[Sequence[float], State], State] | None = field(default=None)
 
 
-def _walk(fold: Fold, keys: list[str], with_exit: bool):
+def _walk(fold: Fold, keys: list[str], with_exit: bool, with_map: bool = False):
+    """``with_map``: the exit row of a run also has its ``transfer``, for which the rows of the run are held together."""
     names = [f.name for f in fold.emits]
-    columns = [*keys, *names, *([EXIT] if with_exit else [])]
+    columns = [*keys, *names, *([EXIT, MAP] if with_exit else [])]
 
-    def add(found: dict[str, list], key: tuple, size: int, columns: Arrays | None, state: State | None) -> None:
+    def add(found: dict[str, list], key: tuple, size: int, columns: Arrays | None, state: State | None, run: list[Arrays] | None = None) -> None:
         for k, v in zip(keys, key):
             found[k].extend([v] * size)
         for name in names:
             found[name].extend([None] if columns is None else columns[name])
         if with_exit:
             found[EXIT].extend([None if state is None else list(state)] * size)
+            made = fold.transfer({c: np.concatenate([r[c] for r in run]) for c in fold.inputs}) if run else None
+            found[MAP].extend([None if made is None else list(made)] * size)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key: tuple | None = None
-        state = fold.initial
+        state, run = fold.initial, []
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -79,18 +85,21 @@ def _walk(fold: Fold, keys: list[str], with_exit: bool):
                 here = tuple(pdf[k].iat[start] for k in keys)
                 if here != key:
                     if with_exit and key is not None:
-                        add(found, key, 1, None, state)
+                        add(found, key, 1, None, state, run)
                     key = here
-                    state = fold.initial
+                    state, run = fold.initial, []
                     if ENTRY in pdf.columns and pdf[ENTRY].iat[start] is not None:
                         state = tuple(float(v) for v in pdf[ENTRY].iat[start])
-                emitted, state = fold.step(state, {c: a[start:stop] for c, a in arrays.items()})
+                part = {c: a[start:stop] for c, a in arrays.items()}
+                if with_map and fold.transfer:
+                    run.append(part)
+                emitted, state = fold.step(state, part)
                 add(found, key, len(emitted[names[0]]), emitted, None)
             if found[columns[0]]:
                 yield pd.DataFrame(found)
         if with_exit and key is not None:
             found = {c: [] for c in columns}
-            add(found, key, 1, None, state)
+            add(found, key, 1, None, state, run)
             yield pd.DataFrame(found)
 
     return walk
@@ -99,7 +108,7 @@ def _walk(fold: Fold, keys: list[str], with_exit: bool):
 def _output_schema(df: DataFrame, keys: Sequence[str], fold: Fold, with_exit: bool) -> T.StructType:
     fields = [df.schema[k] for k in keys] + [T.StructField(f.name, f.dataType, True) for f in fold.emits]
     if with_exit:
-        fields.append(T.StructField(EXIT, T.ArrayType(T.DoubleType()), True))
+        fields += [T.StructField(name, T.ArrayType(T.DoubleType()), True) for name in (EXIT, MAP)]
     return T.StructType(fields)
 
 
@@ -132,25 +141,22 @@ def _fold_runs(cut: DataFrame, keys: list[str], fold: Fold, in_order: bool) -> D
     inputs = [c for c in fold.inputs if c not in part_keys]
     is_exit = F.col(EXIT).isNotNull()
 
-    first = reliable(ready.select(*part_keys, *inputs).mapInPandas(walk, schema))
-    emitted = first.filter(~is_exit).drop(EXIT)
-    exits = first.filter(is_exit).select(*part_keys, EXIT)
-    states = exits.withColumn(ENTRY, F.array(*map(F.lit, fold.initial))).withColumn(COLD, F.col(EXIT))
+    first = reliable(ready.select(*part_keys, *inputs).mapInPandas(_walk(fold, part_keys, True, True), schema))
+    emitted = first.filter(~is_exit).drop(EXIT, MAP)
+    states = first.filter(is_exit).select(*part_keys, EXIT, MAP).withColumn(ENTRY, F.array(*map(F.lit, fold.initial)))
 
     while True:
         chained = _measured(_chain(states, keys, fold))
-        stale = chained.filter(F.col(EXIT).isNull())
+        stale = chained.filter(~F.col(SAME))
         if stale.isEmpty():
-            moved = chained.filter(~F.col(SAME)).select(*part_keys)
-            return emitted.join(moved, part_keys, "left_anti").drop(PART)
+            return emitted.drop(PART)
         entries = stale.select(*part_keys, ENTRY)
         again = cut.join(small_side(entries), part_keys).repartition(*part_keys).sortWithinPartitions(*part_keys, SLOT)
         redone = reliable(again.select(*part_keys, ENTRY, *inputs).mapInPandas(walk, schema))
-        fixed = stale.drop(EXIT).join(redone.filter(is_exit).select(*part_keys, EXIT), part_keys)
-        states = chained.filter(F.col(EXIT).isNotNull()).unionByName(fixed)
-        # A run passed through emits nothing, whatever an earlier guess made it emit.
-        kept = emitted.join(chained.filter(~F.col(SAME)).select(*part_keys), part_keys, "left_anti")
-        emitted = reliable(kept.unionByName(redone.filter(~is_exit).drop(EXIT)))
+        fixed = redone.filter(is_exit).select(*part_keys, EXIT).join(stale.drop(EXIT, SAME), part_keys)
+        states = chained.filter(SAME).drop(SAME).unionByName(fixed)
+        kept = emitted.join(stale.select(*part_keys), part_keys, "left_anti")
+        emitted = reliable(kept.unionByName(redone.filter(~is_exit).drop(EXIT, MAP)))
 
 
 def _measured(states: DataFrame) -> DataFrame:
@@ -163,30 +169,23 @@ def _measured(states: DataFrame) -> DataFrame:
 def _chain(states: DataFrame, keys: list[str], fold: Fold) -> DataFrame:
     """Entry each run should have, given the exits known so far; one row per run.
 
-    EXIT comes back null for a run that has to be folded again.  Its last exit serves
-    as the guess for the run after it.
+    SAME is false for a run that was folded from another entry. Its exit follows from its function where
+    there is one; else its last exit serves as the guess for the run after it.
     """
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, fold.initial
         for pdf in batches:
-            entries, exits, same = [], [], []
-            for *here, entry, exit_, cold in zip(*(pdf[c] for c in [*keys, ENTRY, EXIT, COLD])):
+            entries, same = [], []
+            for *here, entry, exit_, pieces in zip(*(pdf[c] for c in [*keys, ENTRY, EXIT, MAP])):
                 if here != key:
                     key, state = here, fold.initial
                 entries.append(list(state))
-                known = tuple(exit_)
                 same.append(tuple(entry) == state)
-                if not same[-1]:
-                    moved = fold.pass_through(state, tuple(cold)) if fold.pass_through else None
-                    exits.append(None if moved is None else list(moved))
-                    state = known if moved is None else moved
-                else:
-                    exits.append(list(known))
-                    state = known
-            yield pdf[[*keys, PART, COLD]].assign(**{ENTRY: entries, EXIT: exits, SAME: same})
-
-    states = states.select(*keys, PART, COLD, ENTRY, EXIT)
+                state = tuple(exit_) if same[-1] or pieces is None else tuple(fold.through(pieces.tolist(), state))
+            yield pdf[[*keys, PART, EXIT, MAP]].assign(**{ENTRY: entries, SAME: same})
+
+    states = states.select(*keys, PART, EXIT, MAP, ENTRY)
     placed = states.repartition(*keys).sortWithinPartitions(*keys, PART)
     fields = [T.StructField(f.name, f.dataType) for f in states.schema]
     return placed.mapInPandas(chain, T.StructType([*fields, T.StructField(SAME, T.BooleanType())]))
