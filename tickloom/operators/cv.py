@@ -80,3 +80,16 @@ def purged_folds(
         .otherwise("purged")
     )
     return placed.join(small_side(bounds), group).select("fold", key, "t0", "t1", role.alias("role"))
+
+
+def fold_masks(samples: DataFrame, k: int = N_FOLDS, embargo: float = EMBARGO) -> DataFrame:
+    """``samples`` with ``_fold``, the pooled fold that tests it, and ``_trains``, whose bit ``i`` says that it trains fold ``i``.
+
+    Samples that share symbol and interval get the roles of all of them: they train a fold only together.
+    """
+    keys = ["symbol", "t0", "t1"]
+    roles = purged_folds(samples, k, embargo, pooled=True)
+    trains = F.when(F.col("role") == "train", F.expr("shiftleft(1L, fold)")).otherwise(F.lit(0).cast("long"))
+    by_fold = roles.withColumn("_bit", trains).groupBy(*keys, "fold").agg(F.min("_bit").alias("_bit"), F.max(F.col("role") == "test").alias("_own"))
+    marks = by_fold.groupBy(*keys).agg(F.sum("_bit").alias("_trains"), F.min(F.when(F.col("_own"), F.col("fold"))).alias("_fold"))
+    return samples.join(marks, keys)

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import cv, labels, ledger
+from tickloom.operators import cv, labels, ledger, quality
 from tickloom.operators import bars as bar_ops
 from tickloom.operators.features import (
     FEATURES,
@@ -19,8 +19,9 @@ from tickloom.operators.features import (
     generate_features,
     with_volatility,
 )
-from tickloom.operators.models import Primary, Settings, fit_meta, fit_primary, out_of_fold, score_signals
-from tickloom.operators.ordered import split
+from tickloom.operators.boosting import Settings
+from tickloom.operators.models import Primary, fit_folds, fit_meta, score_signals
+from tickloom.operators.ordered import small_side, split
 from tickloom.session import reliable
 
 LEAST_TEST_ROWS = 100
@@ -47,10 +48,17 @@ class Recipe:
 
 @dataclass
 class Trained:
+    """Both models; without any sample ``primary`` has no class. ``gates`` says for each symbol whether it was learned from, or why not."""
+
     features: list[str]
     primary: Primary
     meta: PipelineModel | None
     samples: int
+    gates: DataFrame
+
+    @property
+    def success(self) -> bool:
+        return self.samples > 0
 
 
 def feature_frame(bars: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
@@ -62,29 +70,34 @@ def usable_features(features: DataFrame) -> list[str]:
     return [c for c in FEATURES if c in features.columns]
 
 
-def training_samples(features: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
-    """Events sampled from the cleaned bars, labelled, with their feature row."""
+def gated_samples(features: DataFrame, recipe: Recipe = Recipe()) -> tuple[DataFrame, DataFrame]:
+    """Samples of the symbols that have enough bars, events and labels, and the gates of all symbols."""
     bars = labels.valued(features.select("symbol", "ts", "uid", "close"))
-    events = labels.cusum_events(bars, labels.cusum_threshold(bars))
-    marked = labels.triple_barrier_labels(bars, events.select("symbol", F.col("ts").alias("t0")), recipe.days)
+    events = reliable(labels.cusum_events(bars, labels.cusum_threshold(bars)))
+    marked = reliable(labels.triple_barrier_labels(bars, events.select("symbol", F.col("ts").alias("t0")), recipe.days))
+    gates = reliable(quality.sample_size_gates(bars, events, marked))
     names = usable_features(features)
     rows = labels.features_at_events(marked.select("symbol", "t0", "t1", "bin"), features.select("symbol", "ts", *names))
-    return reliable(rows)
+    return reliable(rows.join(small_side(gates.where("success").select("symbol")), "symbol", "left_semi")), gates
+
+
+def training_samples(features: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
+    """Events sampled from the cleaned bars, labelled, with their feature row."""
+    return gated_samples(features, recipe)[0]
 
 
-def train(features: DataFrame, recipe: Recipe = Recipe()) -> Trained | str:
-    """Both models from the rows before the test slice, or the reason there is none.
+def train(features: DataFrame, recipe: Recipe = Recipe()) -> Trained:
+    """Both models from the rows before the test slice.
 
-    The slice is cut before labelling, so no label looks into the rows that are traded.
+    The slice is cut before labelling, so no label looks into the rows that are traded. Symbols with too few bars or events are
+    left out; where none is left nothing is fitted, and no signal follows.
     """
     past = cv.time_split(features, order=["ts", "uid"], test=recipe.test).filter("not is_test").drop("is_test")
-    samples = training_samples(past, recipe)
+    samples, gates = gated_samples(past, recipe)
     names = usable_features(features)
-    size = samples.count()
-    if size == 0:
-        return "no_labels"
-    oof = reliable(out_of_fold(samples, names, recipe.settings))
-    return Trained(names, fit_primary(samples, names, settings=recipe.settings), fit_meta(samples, oof, names), size)
+    folds = fit_folds(samples, names, [recipe.settings], whole=True)
+    meta = fit_meta(samples, reliable(folds.tested()), names) if folds.models else None
+    return Trained(names, folds.whole, meta, samples.count(), gates)
 
 
 def scored_slice(features: DataFrame, trained: Trained, recipe: Recipe = Recipe()) -> DataFrame:

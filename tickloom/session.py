@@ -66,3 +66,10 @@ def reliable(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def rewritten(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage in a columnar form."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

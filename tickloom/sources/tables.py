@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.ordered import running_sum, with_history
+from tickloom.operators.ordered import numbered, running_sum, with_history
 
 TICK_KEY = ["symbol"]
 TICK_ORDER = ["ts", "uid"]
@@ -84,6 +84,31 @@ def ticks_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HISTORY_SPAN = 50_000
+
+
+def bars_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of bars from the order lines, a symbol for each flag and status: ``symbol, ts, uid, close, volume``.
+
+    A walk of odd whole cents, folded back at 500 and 1500, so that prices stay positive and exact at any length; lines of one
+    day follow each other by milliseconds.
+    """
+    items = read_table(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("symbol"),
+        F.to_date("l_shipdate").alias("day"),
+        "l_orderkey",
+        "l_linenumber",
+        (2 * (F.col("l_partkey") % 100) - 99).alias("step"),
+        F.col("l_quantity").alias("volume"),
+    )
+    placed = numbered(items, ["symbol", "day"], ["l_orderkey", "l_linenumber"], "uid")
+    timed = placed.withColumn("ts", F.timestamp_millis(F.unix_millis(F.col("day").cast("timestamp")) + F.col("uid") - 1).cast("timestamp_ntz"))
+    walked = running_sum(timed, TICK_KEY, TICK_ORDER, F.col("step"), "moved")
+    turn = F.lit(2 * HISTORY_SPAN)
+    cents = 2 * HISTORY_SPAN + F.abs(F.pmod(F.col("moved") + HISTORY_SPAN, 2 * turn) - turn) - HISTORY_SPAN
+    return walked.select("symbol", "ts", "uid", (cents / 100.0).alias("close"), "volume")
+
+
 def daily_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last walk price per symbol and day: ``symbol, date, close``."""
     return (
