@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.trading import barrier_prices, label_bin
 from tickloom.operators.features import with_volatility
 from tickloom.operators.folds import Arrays, Fold, State, fold_rows
-from tickloom.operators.ordered import block_rows, columns_of, history, is_cut, join_and_split, lagged, numbered, small_side, split
+from tickloom.operators.ordered import block_rows, columns_of, is_cut, join_and_split, lagged, numbered, running_last, small_side, split
 from tickloom.operators.search import Extremes
 from tickloom.session import reliable
 
@@ -88,32 +88,20 @@ def cusum_events(bars: DataFrame, thresholds: DataFrame, delta: str = "price") -
     return fold_rows(moved, KEYS, ORDER, CUSUM_FOLD, placed=True)
 
 
-def vertical_barrier(bars: DataFrame, events: DataFrame, days: int = HORIZON_DAYS, bucket: str = "hour") -> DataFrame:
+def vertical_barrier(bars: DataFrame, events: DataFrame, days: int = HORIZON_DAYS) -> DataFrame:
     """First bar at or after ``t0 + days`` as ``t1``; events without one are dropped.
 
-    A forward as-of join without pairs: bars and targets of one (symbol, bucket) are
-    merged in time order and each target takes the nearest bar after it; targets behind
-    the last bar of their bucket take the first bar of the next bucket that has any.
+    A forward as-of join without pairs: bars and targets are merged backwards in time, a bar before a
+    target of its time, and every target takes the bar met last. A symbol too large for one task is cut
+    into ranges of time, whatever hours its bars lie in, and a range starts with the bar of the one behind it.
     """
     target = F.col("t0") + F.expr(f"interval {days} days")
+    back = lambda at: -F.unix_micros(at.cast("timestamp"))
     no_time = F.lit(None).cast("timestamp_ntz")
-    marks = events.select("symbol", target.alias("at"), "t0", no_time.alias("bar_ts"))
-    times = bars.select("symbol", F.col("ts").alias("at"), no_time.alias("t0"), F.col("ts").alias("bar_ts"))
-    merged = marks.unionByName(times).withColumn("_slot", F.date_trunc(bucket, F.col("at").cast("timestamp")))
-    later = Window.partitionBy("symbol", "_slot").orderBy(F.desc("at")).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    inside = merged.withColumn("_here", F.min("bar_ts").over(later)).filter("t0 is not null")
-    slotted = times.withColumn("_slot", F.date_trunc(bucket, F.col("at").cast("timestamp")))
-    firsts = slotted.groupBy("symbol", "_slot").agg(F.min("bar_ts").alias("_next"))
-    step = F.expr(f"interval 1 {bucket}")
-    # Every bucket from one with bars up to the one before the next with bars.
-    gaps = firsts.withColumn("_from", F.lag("_slot").over(history(KEYS, ["_slot"]))).filter("_from is not null")
-    nexts = gaps.select("symbol", "_next", F.explode(F.sequence("_from", F.col("_slot") - step, step)).alias("_slot"))
-    found = inside.join(nexts, ["symbol", "_slot"], "left").select(
-        "symbol", "t0", F.coalesce("_here", "_next").alias("t1")
-    )
-    return found.filter("t1 is not null")
+    marks = events.select("symbol", back(target).alias("_back"), F.lit(1).alias("_kind"), "t0", no_time.alias("_bar"))
+    times = bars.select("symbol", back(F.col("ts")).alias("_back"), F.lit(0).alias("_kind"), no_time.alias("t0"), F.col("ts").alias("_bar"))
+    merged = running_last(marks.unionByName(times), KEYS, ["_back", "_kind", "t0"], F.col("_bar"), "t1")
+    return merged.filter("_kind = 1 and t1 is not null").select("symbol", "t0", "t1")
 
 
 # --- first touch of a price barrier -------------------------------------------------------
@@ -174,6 +162,59 @@ def _touches(pt: float, sl: float):
     return search
 
 
+def block_index(placed: DataFrame) -> DataFrame:
+    """Span of time and of closes of every block of ``placed(symbol, _block, ts, close)``."""
+    return placed.groupBy("symbol", "_block").agg(
+        F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.min("close").alias("_low"), F.max("close").alias("_high")
+    )
+
+
+def _visited(pt: float, sl: float):
+    """Blocks to search for each event: the one it starts in, the first later ones that go beyond each barrier, and the last."""
+    up_mult, down_mult = (m if m > 0 else np.inf for m in (pt, sl))
+
+    def choose(events: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        if events.empty or blocks.empty:
+            return events.assign(_block=pd.Series(dtype="int64")).drop(columns="_salt").iloc[:0]
+        blocks = blocks.sort_values("_block")
+        size = len(blocks)
+        own = np.searchsorted(blocks["_to"].to_numpy(), events["t0"].to_numpy(), side="left")
+        last = np.searchsorted(blocks["_from"].to_numpy(), events["t1"].to_numpy(), side="right") - 1
+        p0, side, vol = (events[c].to_numpy() for c in ("p0", "side", "vol"))
+        falling = Extremes(blocks["_low"].to_numpy(float), np.minimum, np.inf)
+        rising = Extremes(blocks["_high"].to_numpy(float), np.maximum, -np.inf)
+        inner, none = np.minimum(own + 1, size), np.zeros(len(events), np.int64)
+        visits = [own, last]
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            low, high = -down_mult * vol, up_mult * vol
+            for outside, for_long, for_short in (
+                (lambda p, i: np.log(p / p0[i]) * side[i] < low[i], falling, rising),
+                (lambda p, i: np.log(p / p0[i]) * side[i] > high[i], rising, falling),
+            ):
+                visits.append(for_long.first(inner, np.where(side > 0, last, none), outside))
+                visits.append(for_short.first(inner, np.where(side > 0, none, last), outside))
+        rows = np.concatenate([np.flatnonzero((v >= own) & (v <= last)) for v in visits])
+        where = np.concatenate([v[(v >= own) & (v <= last)] for v in visits])
+        pairs = np.unique(np.stack([rows, where], axis=1), axis=0)
+        out = events.iloc[pairs[:, 0]].drop(columns="_salt")
+        return out.assign(_block=blocks["_block"].to_numpy()[pairs[:, 1]])
+
+    return choose
+
+
+def block_visits(events: DataFrame, index: DataFrame, pt: float, sl: float) -> DataFrame:
+    """``events`` once for each block they must search, four at most (five if some prices are missing), however long they run.
+
+    A block that lies inside [t0, t1] and goes beyond a barrier is sure to touch it, so later ones are never needed.
+    """
+    spark = events.sparkSession
+    parts = max(1, -(-events.count() // block_rows(spark)))
+    salted = events.withColumn("_salt", F.pmod(F.xxhash64("t0"), F.lit(parts)).cast("int"))
+    copies = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    schema = T.StructType([*events.schema.fields, T.StructField("_block", T.LongType())])
+    return salted.groupBy("symbol", "_salt").cogroup(copies.groupBy("symbol", "_salt")).applyInPandas(_visited(pt, sl), schema)
+
+
 def barrier_touches(
     bars: DataFrame, events: DataFrame, pt: float = PROFIT_MULT, sl: float = STOP_MULT
 ) -> DataFrame:
@@ -181,30 +222,28 @@ def barrier_touches(
 
     ``events`` carries ``symbol, t0, t1, p0, side, vol``, of which all but the side come
     back beside the touches.  Bars of a symbol too large for
-    one task are cut by position and an event visits the blocks its [t0, t1] overlaps;
-    the earliest touch over its blocks is the answer.  A multiplier of 0 or less switches
-    that side off.
+    one task are cut by position; an index of the blocks' extremes names the few blocks that an event has to search,
+    and the earliest touch over them is the answer.  A block that many events name is searched in several tasks.
+    A multiplier of 0 or less switches that side off.
     """
     prices = bars.select("symbol", "ts", "uid", "close")
     cut = split(prices, KEYS, ORDER)
-    if is_cut(cut):
-        size = block_rows(bars.sparkSession)
-        placed = numbered(cut, KEYS, ORDER, "_pos").withColumn("_block", F.expr(f"(_pos - 1) div {size}"))
-    else:
-        placed = prices.withColumn("_block", F.lit(0).cast("long"))
-    placed = placed.select("symbol", "_block", "ts", "close")
     needed = events.select("symbol", "t0", "t1", "p0", "side", "vol")
-    if is_cut(cut):
-        spans = placed.groupBy("symbol", "_block").agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"))
-        visits = needed.join(small_side(spans), "symbol").filter("_to >= t0 and _from <= t1").drop("_from", "_to")
-    else:
-        visits = needed.withColumn("_block", F.lit(0).cast("long"))
-    keys = ["symbol", "_block"]
     # Both sides may descend from one frame; fresh columns keep their keys apart.
-    visits = visits.select(*(F.col(c).alias(c) for c in visits.columns))
-    touched = placed.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(_touches(pt, sl), TOUCH_SCHEMA)
+    fresh = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))
     if not is_cut(cut):
-        return touched
+        grouped = fresh(needed).groupBy("symbol")
+        return prices.select("symbol", "ts", "close").groupBy("symbol").cogroup(grouped).applyInPandas(_touches(pt, sl), TOUCH_SCHEMA)
+    size = block_rows(bars.sparkSession)
+    numbered_rows = numbered(cut, KEYS, ORDER, "_pos").withColumn("_block", F.expr(f"(_pos - 1) div {size}"))
+    placed = reliable(numbered_rows.select("symbol", "_block", "ts", "close"))
+    visits = reliable(block_visits(reliable(fresh(needed)), block_index(placed), pt, sl))
+    keys = ["symbol", "_block"]
+    asked = small_side(reliable(visits.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_parts"))))
+    met = visits.join(asked, keys).withColumn("_part", F.pmod(F.xxhash64("t0"), F.col("_parts")).cast("int")).drop("_parts")
+    copies = placed.join(asked, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    grouped = [df.groupBy(*keys, "_part") for df in (copies, fresh(met))]
+    touched = grouped[0].cogroup(grouped[1]).applyInPandas(_touches(pt, sl), TOUCH_SCHEMA)
     return touched.groupBy("symbol", "t0", "t1", "p0", "vol").agg(
         F.min("sl_ts").alias("sl_ts"),
         F.min_by("sl_close", "sl_ts").alias("sl_close"),
