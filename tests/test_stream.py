@@ -103,10 +103,10 @@ def test_stream_orders_equal_batch_orders(spark, tmp_path):
     signals = spark.createDataFrame(rows, schema)
     frame = signals.toPandas()
     stream = as_files(spark, frame, tmp_path, schema, time_cuts(frame, 4))
-    got = rows_of(jobs.drain(jobs.stream_order_intents(stream, "0 seconds"), "t", spark), "ts")
     weights = spark.createDataFrame([("A", 1.0)], "symbol string, weight double")
-    wanted = rows_of(ledger.order_intents(signals, weights, 1.0), "ts")
+    got = rows_of(jobs.drain(jobs.stream_order_intents(stream, weights, 5_000.0, "0 seconds"), "t", spark), "ts")
+    wanted = rows_of(ledger.order_intents(signals, weights, 5_000.0), "ts")
     eligible = frame[(frame["signal"] != 0) & (frame["conf"] > 0.6)]
     wanted = wanted[wanted["ts"] < eligible["ts"].max()]
-    assert got["action"].tolist() == wanted["action"].tolist()
-    assert got["ts"].tolist() == wanted["ts"].tolist()
+    pd.testing.assert_frame_equal(got, wanted.reset_index(drop=True))
+    assert got["qty"].max() > 1 and got["take_profit"].notna().sum() == (got["action"] == "buy").sum()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,44 +51,119 @@ CUSUM_SCHEMA = T.StructType(
 )
 
 
-def cusum_step(state: State, rows: Arrays) -> tuple[Arrays, State]:
-    """Both one-sided sums of the price change; a crossed side emits and starts over."""
-    up, down = state
-    times, ids, sides = [], [], []
-    moves, limits = rows["delta"].tolist(), rows["threshold"].tolist()
-    for i, (move, limit) in enumerate(zip(moves, limits)):
-        if move != move:  # first row of a symbol
-            continue
-        up, down = max(0.0, up + move), min(0.0, down + move)
-        if down < -limit:
-            down, side = 0.0, -1
-        elif up > limit:
-            up, side = 0.0, 1
-        else:
-            continue
-        times.append(rows["ts"][i])
-        ids.append(rows["uid"][i])
-        sides.append(side)
-    return {"ts": times, "uid": ids, "side": sides}, (up, down)
+# Prices, and their logarithms, as whole numbers of 2**-GRAIN, so sums over a run do not depend on how it is cut.
+GRAIN = {"price": 30, "log": 46}
+
 
+class _Side:
+    """One side of the sums over consecutive rows: the path less its lowest point since the last event, and the events.
+
+    The sum passes the limit where the path first lies that far above an earlier point, so events are found by
+    searching the next crossing for all points at once and following the earliest ones.
+    """
 
-CUSUM_FOLD = Fold(["ts", "uid", "delta", "threshold"], (0.0, 0.0), CUSUM_SCHEMA, cusum_step)
+    def __init__(self, path: np.ndarray, limit: float, entry: float) -> None:
+        self.path, self.size, self.limit, self.entry = path, len(path) - 1, limit, int(entry)
+        self.starts = path.copy()
+        self.starts[0] -= self.entry
+        highs = Extremes(path, np.maximum, -(1 << 62))
+        at = np.arange(1, self.size + 2)
+        found = highs.first(at, np.full(self.size + 1, self.size + 1), lambda value, i: value - self.starts[i] > limit)
+        crossing = np.where(found < 0, self.size + 1, found)
+        self.next = np.minimum.accumulate(crossing[::-1])[::-1]
+        self.lowest = np.minimum.accumulate(self.starts[::-1])[::-1]
+
+    def events(self) -> list[int]:
+        """Points of the path (row + 1) at which the side crosses."""
+        made, following, at = [], self.next.tolist(), 0
+        while (at := following[at]) <= self.size:
+            made.append(at)
+        return made
+
+    def left(self, at: int) -> float:
+        """The sum after the last row if the last event was at ``at`` (0: none)."""
+        return float(self.path[-1] - self.lowest[at])
+
+    def pieces(self) -> list[float]:
+        """Of a side that is entered with 0: total, low point, exit without an own event, then ``limit, exit`` of earlier events.
+
+        An entry above a limit crosses at that record of the path; the side that was at 0 goes on as before.
+        """
+        regular = self.next[1] if self.size else 1
+        last, following = np.zeros(self.size + 2, np.int64), self.next
+        # Where the chain of events from each point ends, from the back.
+        last = np.arange(self.size + 2)
+        last[self.size + 1] = 0
+        for at in np.unique(following[following <= self.size])[::-1].tolist():
+            last[at] = last[following[at]] if following[at] <= self.size else at
+        exits = -1.0 if regular > self.size else self.left(int(last[regular]))
+        before = self.path[1:regular]
+        records = np.flatnonzero(before > np.concatenate(([0], np.maximum.accumulate(before)[:-1]))) + 1 if len(before) else np.zeros(0, np.int64)
+        made = [float(self.path[-1]), float(self.path[1:].min(initial=0)), exits]
+        for at in records.tolist():
+            end = int(last[following[at]]) if following[at] <= self.size else at
+            made += [self.limit - float(self.path[at]), self.left(end)]
+        return made
+
+
+def _after(pieces: Sequence[float], entry: float) -> float:
+    total, lowest, regular, *rest = pieces
+    for limit, exit_ in zip(rest[::2], rest[1::2]):
+        if entry > limit:
+            return exit_
+    return regular if regular >= 0 else total + max(entry, -lowest)
+
+
+def _path(rows: Arrays, grain: int) -> tuple[np.ndarray, float]:
+    """The level less that before the first row, at that point and after each row; rows without a row before do not move."""
+    level, before = (np.ldexp(rows[c].astype(float), grain) for c in ("level", "_prev"))
+    moves = np.nan_to_num(np.rint(level) - np.rint(before)).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(moves))), math.ldexp(float(rows["threshold"][0]), grain)
+
+
+def _cusum(grain: int):
+    def step(state: State, rows: Arrays) -> tuple[Arrays, State]:
+        """Both one-sided sums of the moves; a crossed side emits and starts over."""
+        path, limit = _path(rows, grain)
+        sides = {1: _Side(path, limit, state[0]), -1: _Side(-path, limit, -state[1])}
+        found = {sign: side.events() for sign, side in sides.items()}
+        at = np.array([*found[1], *found[-1]], np.int64) - 1
+        signs = np.repeat([1, -1], [len(found[1]), len(found[-1])])
+        order = np.argsort(at, kind="stable")
+        at, signs = at[order], signs[order]
+        up, down = (side.left(found[sign][-1] if found[sign] else 0) for sign, side in sides.items())
+        emitted = {"ts": list(rows["ts"][at]), "uid": rows["uid"][at].tolist(), "side": signs.tolist()}
+        return emitted, (up, -down)
+
+    def transfer(rows: Arrays) -> list[float]:
+        path, limit = _path(rows, grain)
+        up, down = (_Side(p, limit, 0).pieces() for p in (path, -path))
+        return [float(len(up)), *up, *down]
+
+    def through(pieces: Sequence[float], entry: State) -> State:
+        cut = 1 + int(pieces[0])
+        return _after(pieces[1:cut], entry[0]), -_after(pieces[cut:], -entry[1])
+
+    return Fold(["ts", "uid", "level", "_prev", "threshold"], (0.0, 0.0), CUSUM_SCHEMA, step, transfer, through)
+
+
+CUSUM_FOLDS = {name: _cusum(grain) for name, grain in GRAIN.items()}
 
 
 def cusum_events(bars: DataFrame, thresholds: DataFrame, delta: str = "price") -> DataFrame:
     """Bars at which the cumulated move since the last event exceeds the threshold.
 
-    ``delta='log'`` cumulates log returns instead of price differences.
+    ``delta='log'`` cumulates log returns instead of price differences.  Levels are rounded to 2**-30 (logarithms to
+    2**-46) and added exactly.
     """
 
     # Joined before the rows are placed: a join after it could be split up for skew.
     needed = columns_of(bars, "symbol", "ts", "uid", "close")
     cut = join_and_split(needed, thresholds.select("symbol", "threshold"), KEYS, ORDER)
     placed = cut if is_cut(cut) else cut.repartition(*KEYS)
-    before = lagged(placed, KEYS, ORDER, "close", "_prev", True)
-    close, prev = F.col("close"), F.col("_prev")
-    moved = before.withColumn("delta", F.ln(F.try_divide(close, prev)) if delta == "log" else close - prev).drop("_prev")
-    return fold_rows(moved, KEYS, ORDER, CUSUM_FOLD, placed=True)
+    levels = placed.withColumn("level", F.ln("close") if delta == "log" else F.col("close"))
+    before = lagged(levels, KEYS, ORDER, "level", "_prev", True)
+    return fold_rows(before, KEYS, ORDER, CUSUM_FOLDS[delta], placed=True)
 
 
 def vertical_barrier(bars: DataFrame, events: DataFrame, days: int = HORIZON_DAYS) -> DataFrame:

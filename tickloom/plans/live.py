@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import features
+from tickloom.operators import features, labels
 from tickloom.plans import market_data, sql
 from tickloom.plans.market_data import r
 from tickloom.plans.registry import query
-from tickloom.plans.research import INTENTS, FEATURE_CTES
-from tickloom.session import fresh_path
+from tickloom.plans.research import FEATURE_CTES, INTENTS_SQL
+from tickloom.session import fresh_path, reliable
 from tickloom.sources import tables
 from tickloom.streaming import jobs
 
@@ -104,7 +104,10 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/scores").select("symbol", "ts", "signal", r("conf"))
 
 
-@query("stream_order_intents", sql.ask(INTENTS, "SELECT symbol, ts, action FROM acted"))
+@query("stream_order_intents", INTENTS_SQL)
 def stream_order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals, closing = jobs.with_closing(_written_stream(spark, tables.signals_walk(spark, sf_dir), "signals"))
-    return jobs.drain(jobs.stream_order_intents(signals, DELAY), "stream-intents", spark, closing)
+    signals = labels.with_volatility(tables.signals_walk(spark, sf_dir))
+    weights = reliable(signals.select("symbol").distinct().withColumn("weight", F.lit(0.2)))
+    stream, closing = jobs.with_closing(_written_stream(spark, signals, "signals"))
+    made = jobs.drain(jobs.stream_order_intents(stream, weights, 100_000.0, DELAY), "stream-intents", spark, closing)
+    return made.select("symbol", "ts", "action", "qty", r("take_profit"), r("stop_loss"))

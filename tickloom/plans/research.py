@@ -505,17 +505,17 @@ acted AS (
 )
 
 
-@query(
-    "order_intents",
-    sql.ask(
-        INTENTS,
-        """SELECT symbol, ts, action,
-        CASE WHEN signal = 1 THEN CAST(greatest(1, floor(100000.0::DOUBLE * 0.2::DOUBLE *
-          least(greatest(0.5::DOUBLE * (conf - (1 - conf)), 0), 1) / close)) AS BIGINT) END AS qty,
-        CASE WHEN signal = 1 THEN round(close * (1 + vol * 2), 6) END AS take_profit,
-        CASE WHEN signal = 1 THEN round(close * (1 - vol * 2), 6) END AS stop_loss FROM acted""",
-    ),
+INTENTS_SQL = sql.ask(
+    INTENTS,
+    """SELECT symbol, ts, action,
+    CASE WHEN signal = 1 THEN CAST(greatest(1, floor(100000.0::DOUBLE * 0.2::DOUBLE *
+      least(greatest(0.5::DOUBLE * (conf - (1 - conf)), 0), 1) / close)) AS BIGINT) END AS qty,
+    CASE WHEN signal = 1 THEN round(close * (1 + vol * 2), 6) END AS take_profit,
+    CASE WHEN signal = 1 THEN round(close * (1 - vol * 2), 6) END AS stop_loss FROM acted""",
 )
+
+
+@query("order_intents", INTENTS_SQL)
 def order_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = labels.with_volatility(tables.signals_walk(spark, sf_dir))
     weights = signals.select("symbol").distinct().withColumn("weight", F.lit(0.2))

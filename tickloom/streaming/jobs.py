@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.operators.bars import BAR_SCHEMA, IMBALANCE_START, imbalance_step
 from tickloom.operators.folds import Arrays, Fold, State
-from tickloom.operators.ledger import INTENT_SCHEMA, LIVE_CONFIDENCE, position_step
+from tickloom.operators.ledger import LIVE_CONFIDENCE, POSITION_FOLD, eligible_signals, priced_intents
 from tickloom.operators.scoring import latest_per_symbol
 from tickloom.session import fresh_path
 from tickloom.streaming.folds import stream_fold, with_event_time
@@ -127,18 +127,12 @@ def start_scoring(
     )
 
 
-def _positions(state: State, rows: Arrays) -> tuple[Arrays, State]:
-    """Streams carry every input as a double."""
-    return position_step(state, {**rows, "eligible": rows["eligible"] > 0})
-
-
-STREAM_POSITIONS = Fold(["ts", "signal", "eligible"], (0.0,), INTENT_SCHEMA, _positions)
-
-
-def stream_order_intents(signals: DataFrame, delay: str, least_conf: float = LIVE_CONFIDENCE) -> DataFrame:
-    """Buy and sell intents of a signal stream; ``symbol, ts, action``."""
-    eligible = signals.filter((F.col("conf") > least_conf) & (F.col("signal") != 0))
-    return stream_fold(eligible.withColumn("eligible", F.lit(1)), "symbol", STREAM_POSITIONS, delay)
+def stream_order_intents(
+    signals: DataFrame, weights: DataFrame, portfolio_value: float, delay: str, least_conf: float = LIVE_CONFIDENCE
+) -> DataFrame:
+    """Sized intents of a signal stream, the rows of ``order_intents``; ``weights`` is a static table."""
+    acted = stream_fold(eligible_signals(signals, least_conf), "symbol", POSITION_FOLD, delay)
+    return priced_intents(acted.join(weights, "symbol"), portfolio_value)
 
 
 # --- running to the end of the available input ----------------------------------------------
