@@ -6,8 +6,8 @@ has no such word, equal words at its ends are paired. Coverage is the share of a
 words that found their place.
 
 A template is looked for around every place of the word that is rarest in the document among
-its rarest ones, in a stretch somewhat longer than the template, so a license that stands
-several times in one text is found each time. Stretches that cannot reach the coverage, because
+its rarest ones, in a stretch somewhat longer than the template; the text before and after an occurrence is searched on, so
+a license that stands several times in one text is found each time, copies side by side too. Stretches that cannot reach the coverage, because
 too few of the template's words occur in them, are not aligned.
 """
 
@@ -63,6 +63,40 @@ TEMPLATES = {
         "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND "
+        "THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-3-Clause-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission."
+    ),
+    "BSD-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+        "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+        "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+        "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+        "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+        "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
 }
 
 WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*")
@@ -151,22 +185,40 @@ class LicenseSearch:
             spare -= counts[word]
             if spare < 0:
                 break
-        margin, taken = len(template) + len(template) // 4 + 2, -1
-        for seed in sorted(set(seeds)):
-            if seed < taken:
-                continue
-            lo, hi = max(0, taken, seed - margin), min(len(words), seed + margin)
+        spots: dict[str, list[int]] = defaultdict(list)
+        for at, word in enumerate(template):
+            spots[word].append(at)
+        margin = len(template) + len(template) // 4 + 2
+
+        def aligned(lo: int, hi: int) -> list[tuple[int, int]] | None:
             part = words[lo:hi]
             inside = Counter(w for w in part if w in counts)
             if sum(min(n, counts[w]) for w, n in inside.items()) < need:
-                continue
-            pairs = patience(template, part)
+                return None
             # Words far from the rest were paired by chance: only a stretch of the margin's length counts.
-            pairs = self._densest(pairs, margin)
-            if len(pairs) >= need:
-                first, last = lo + pairs[0][1], lo + pairs[-1][1] + 1
-                yield name, len(pairs) / len(template), len(pairs), first, last
-                taken = last
+            pairs = self._densest(patience(template, part), margin)
+            return [(i, lo + j) for i, j in pairs] if len(pairs) >= need else None
+
+        def around(seed: int, low: int, high: int) -> list[tuple[int, int]] | None:
+            """The occurrence near a seed: in a wide stretch, or, where neighbouring copies blur that, in one that holds no second copy."""
+            lo, hi = max(low, seed - margin), min(high, seed + margin)
+            part = Counter(w for w in words[lo:hi] if w in counts)
+            if sum(min(n, counts[w]) for w, n in part.items()) < need:
+                return None
+            slack = len(template) // 8 + 1
+            tight = ((max(lo, seed - at - slack), min(hi, seed - at + len(template) + slack)) for at in spots[words[seed]])
+            return aligned(lo, hi) or next((pairs for stretch in tight if (pairs := aligned(*stretch))), None)
+
+        # Stretches still to search; what lies before an occurrence is searched again without it.
+        order, open_ = sorted(set(seeds)), [(0, len(words))]
+        while open_:
+            low, high = open_.pop()
+            for seed in order[bisect_left(order, low) : bisect_left(order, high)]:
+                if seed >= low and (pairs := around(seed, low, high)):
+                    first, last = pairs[0][1], pairs[-1][1] + 1
+                    yield name, len(pairs) / len(template), len(pairs), first, last
+                    open_ += [(last, high), (low, first)]
+                    break
 
     @staticmethod
     def _densest(pairs: list[tuple[int, int]], margin: int) -> list[tuple[int, int]]:
@@ -185,7 +237,8 @@ def license_spans(
     """``doc_id, license, coverage, n_matched, first_word, end_word``: a row for each occurrence.
 
     Words are runs of letters and digits of the whole text in small letters. Null and empty texts
-    have none; repeated rows give repeated rows; templates without words are never found.
+    have none; repeated rows give repeated rows, a null id stays null; templates without words are never found, and an
+    empty table gives no rows.
     """
     search: list[LicenseSearch] = []
 
