@@ -185,30 +185,35 @@ def top_products(
     candidates each; a repeated query is asked once, two vectors under one id are two queries with one id.
     """
     asked = written(in_blocks(queries.distinct(), query_block), "query-blocks")
-    # A block of queries goes to one of so many places, and every block of the index to all of them.
-    ways = max(1, asked.count())
-    asked = asked.withColumn("n", F.pmod(F.xxhash64("rows"), F.lit(ways)))
-    index = in_blocks(vectors, block).withColumnRenamed("rows", "stored")
-    index = index.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
-    pairs = asked.join(index, ["dims", "n"]).select("rows", "stored")
+    index = written(in_blocks(vectors, block), "index-blocks")
+    # A block of the index lies in one place, and every block of queries, of which there are fewer, comes to all places.
+    parts = max(1, index.count())
+    place = F.pmod(F.xxhash64("rows"), F.lit(parts)).cast("int")
+    stored = index.select("dims", place.alias("part"), F.lit(0).alias("kind"), "rows")
+    coming = asked.select("dims", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "rows")
+    dealt = stored.union(coming).repartition(parts, "dims", "part").sortWithinPartitions("dims", "part", "kind")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sliced = None, None
+        now, held = None, []
         for batch in stream:
-            for asked_rows, stored in zip(batch.column("rows").to_pylist(), batch.column("stored").to_pylist()):
-                if stored != last:
-                    last, sliced = stored, SlicedBlock(*_unpack(stored))
+            for dims, part, kind, rows in zip(*(batch.column(n).to_pylist() for n in ("dims", "part", "kind", "rows"))):
+                if (dims, part) != now:
+                    now, held = (dims, part), []
+                if kind == 0:
+                    held.append(SlicedBlock(*_unpack(rows)))
+                    continue
                 out = []
-                for query_id, query in zip(*_unpack(asked_rows)):
-                    ids, scores = sliced.top(int(query_id), query, k)
+                for query_id, query in zip(*_unpack(rows)) if held else ():
                     tag = xxhash.xxh64_intdigest(query.tobytes()) >> 1
-                    out += [(int(query_id), tag, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+                    for sliced in held:
+                        ids, scores = sliced.top(int(query_id), query, k)
+                        out += [(int(query_id), tag, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "tag", "vec_id", "score"]
                     )
 
-    found = pairs.mapInArrow(run, "query_id long, tag long, vec_id long, score long")
+    found = dealt.mapInArrow(run, "query_id long, tag long, vec_id long, score long")
     order = W.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
