@@ -76,14 +76,14 @@ def load_ticks_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BARS_OUT = """SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low,
-       round(close, 6) AS close, round(volume, 6) AS volume, round(vwap, 6) AS vwap FROM ibars"""
+       round(close, 6) AS close, round(volume, 6) AS volume, round(vwap, 8) AS vwap FROM ibars"""
 FIXED_BARS = sql.ask(
     sql.TICKS + sql.imbalance_bars("SELECT DISTINCT symbol, 20000.0::DOUBLE AS threshold FROM ticks"), BARS_OUT
 )
 
 
 def _bars_out(bars: DataFrame) -> DataFrame:
-    return bars.select("symbol", "ts", *(r(c) for c in ("open", "high", "low", "close", "volume", "vwap")))
+    return bars.select("symbol", "ts", *(r(c) for c in ("open", "high", "low", "close", "volume")), r("vwap", 8))
 
 
 @query("load_bars", FIXED_BARS)

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.operators import ledger, models, pipeline
+from tickloom.operators import features, labels, ledger, models, pipeline
 from tickloom.operators.boosting import Settings
 from tickloom.operators.features import FEATURES, FRACTIONAL_CUTOFF, FRACTIONAL_DEGREE, fractional_weights
 from tickloom.plans import sql
+from tickloom.plans.market_data import r
 from tickloom.plans.registry import query
+from tickloom.plans.research import PLAIN, ROUNDED, WHOLE_ROWS, all_features, rounded
 from tickloom.session import fresh_path
-from tickloom.sources.tables import HISTORY_SPAN, bars_history
+from tickloom.sources.tables import bars_history
 
 RECIPE = pipeline.Recipe()
 GRID = [Settings(depth=2), Settings()]
@@ -24,20 +26,12 @@ GRID = [Settings(depth=2), Settings()]
 # Bars before the first whole window of the longest feature.
 WARM_UP = len(fractional_weights(FRACTIONAL_DEGREE, FRACTIONAL_CUTOFF)) - 1
 
-HISTORY = f"""
-lines AS (
-  SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS day, 2 * (l_partkey % 100) - 99 AS step,
-         row_number() OVER (PARTITION BY l_returnflag || l_linestatus, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber) AS uid
-  FROM lineitem),
-moves AS (
-  SELECT symbol, uid, CAST(day AS TIMESTAMP) + (uid - 1) * INTERVAL 1 MILLISECOND AS ts,
-         CAST(sum(step) OVER (PARTITION BY symbol ORDER BY day, uid) AS BIGINT) + {HISTORY_SPAN} AS moved FROM lines),
-history AS MATERIALIZED (
-  SELECT symbol, ts, uid, row_number() OVER (PARTITION BY symbol ORDER BY ts, uid) AS pos,
-         ({HISTORY_SPAN} + abs(((moved % {4 * HISTORY_SPAN}) + {4 * HISTORY_SPAN}) % {4 * HISTORY_SPAN} - {2 * HISTORY_SPAN})) / 100.0::DOUBLE AS close
-  FROM moves),
+HISTORY = (
+    sql.LONG_WALK
+    + f""",
 clean AS MATERIALIZED (
-  SELECT symbol, ts, uid, close, pos - {WARM_UP} AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM history WHERE pos > {WARM_UP})"""
+  SELECT symbol, ts, uid, close, pos - {WARM_UP} AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM walk WHERE pos > {WARM_UP})"""
+)
 
 
 def _valued(source: str) -> str:
@@ -45,23 +39,23 @@ def _valued(source: str) -> str:
 rets AS MATERIALIZED (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY pos) - 1 AS pct FROM {source})""" + sql.ewm("v100", "rets", "pct", 100)
 
 
-# Prices move by a cent at least, far beyond the threshold on the return scale: every bar but the first is an event.
-SAMPLES = (
-    HISTORY
-    + _valued("clean")
-    + """,
+def _labelled(source: str) -> str:
+    """Labels of the bars of ``source``. Prices move by a cent at least, far beyond the threshold on the return scale: every bar but the first is an event."""
+    return f""",
 ends AS (
   SELECT e.symbol, e.ts AS t0, e.close AS p0, v.vol, w.ts AS v1
-  FROM clean e JOIN v100 v ON v.symbol = e.symbol AND v.pos = e.pos AND v.vol IS NOT NULL
-  ASOF JOIN clean w ON w.symbol = e.symbol AND e.ts + INTERVAL 20 DAY <= w.ts),
+  FROM {source} e JOIN v100 v ON v.symbol = e.symbol AND v.pos = e.pos AND v.vol IS NOT NULL
+  ASOF JOIN {source} w ON w.symbol = e.symbol AND e.ts + INTERVAL 20 DAY <= w.ts),
 touch AS MATERIALIZED (
   SELECT e.symbol, e.t0, e.p0, e.v1, min(CASE WHEN abs(ln(w.close / e.p0)) > 2.0::DOUBLE * e.vol THEN w.ts END) AS hit
-  FROM ends e JOIN clean w ON w.symbol = e.symbol AND w.ts BETWEEN e.t0 AND e.v1
+  FROM ends e JOIN {source} w ON w.symbol = e.symbol AND w.ts BETWEEN e.t0 AND e.v1
   GROUP BY e.symbol, e.t0, e.p0, e.v1),
 samples AS MATERIALIZED (
   SELECT t.symbol, t.t0, w.ts AS t1, CAST(sign(w.close / t.p0 - 1) AS INTEGER) AS bin
-  FROM touch t JOIN clean w ON w.symbol = t.symbol AND w.ts = coalesce(t.hit, t.v1))"""
-)
+  FROM touch t JOIN {source} w ON w.symbol = t.symbol AND w.ts = coalesce(t.hit, t.v1))"""
+
+
+SAMPLES = HISTORY + _valued("clean") + _labelled("clean")
 
 SLICE = (
     HISTORY
@@ -74,8 +68,25 @@ slice AS MATERIALIZED (
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    features = pipeline.feature_frame(bars_history(spark, sf_dir), RECIPE)
-    return pipeline.training_samples(features, RECIPE), pipeline.usable_features(features)
+    frame = pipeline.feature_frame(bars_history(spark, sf_dir), RECIPE)
+    return pipeline.training_samples(frame, RECIPE), pipeline.usable_features(frame)
+
+
+@query(
+    "features_at_events",
+    sql.ask(
+        sql.on_history(all_features(FRACTIONAL_CUTOFF)) + sql.ewm("v100", "rets", "pct", 100) + _labelled("walk"),
+        f"""SELECT s.symbol, s.t0, s.bin, {', '.join(f'f.{c}' for c in PLAIN)}, {rounded(6, *ROUNDED)}
+        FROM samples s JOIN (SELECT * FROM allf WHERE {WHOLE_ROWS}) f ON f.symbol = s.symbol AND f.ts = s.t0""",
+    ),
+)
+def features_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = labels.valued(bars_history(spark, sf_dir))
+    made = features.clean_features(features.generate_features(frame))
+    events = labels.cusum_events(frame, labels.cusum_threshold(frame)).select("symbol", F.col("ts").alias("t0"))
+    joined = labels.features_at_events(labels.triple_barrier_labels(frame, events), made)
+    have = set(joined.columns)
+    return joined.select("symbol", "t0", "bin", *(c for c in PLAIN if c in have), *(r(c) for c in ROUNDED if c in have))
 
 
 def _sure(prob: Column) -> Column:
@@ -127,8 +138,8 @@ def train_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test slice with its volatility; signals are labels, confidences probabilities."""
-    features = pipeline.feature_frame(bars_history(spark, sf_dir), RECIPE)
-    book = pipeline.scored_slice(features, pipeline.train(features, RECIPE), RECIPE)
+    frame = pipeline.feature_frame(bars_history(spark, sf_dir), RECIPE)
+    book = pipeline.scored_slice(frame, pipeline.train(frame, RECIPE), RECIPE)
     known, between = F.col("signal").isin(-1, 0, 1), F.col("conf").between(0, 1)
     return book.select("symbol", "ts", "uid", "close", F.round("vol", 10).alias("vol"), known.alias("known"), between.alias("between"))
 
@@ -143,9 +154,9 @@ def score_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def model_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return of holding for every symbol and threshold; metrics of the trades, where there are any, keep to their ranges."""
-    features = pipeline.feature_frame(bars_history(spark, sf_dir), RECIPE)
-    trained = pipeline.train(features, RECIPE)
-    book = models.reliable(pipeline.scored_slice(features, trained, RECIPE))
+    frame = pipeline.feature_frame(bars_history(spark, sf_dir), RECIPE)
+    trained = pipeline.train(frame, RECIPE)
+    book = models.reliable(pipeline.scored_slice(frame, trained, RECIPE))
     metrics = ledger.trade_metrics(ledger.trade_ledger(book))
     levels = F.explode(F.array(*map(F.lit, ledger.THRESHOLDS))).alias("threshold")
     every = ledger.buy_and_hold(book).select("symbol", levels, F.round("bh_return", 10).alias("hold"))

@@ -137,7 +137,7 @@ def rolling_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.with_entropy(bars(spark, sf_dir)).select("symbol", "uid", r("entropy"))
 
 
-def _all_features(cutoff: float) -> str:
+def all_features(cutoff: float) -> str:
     return (
         sql.RSI
         + sql.WINDOW_FEATURES
@@ -153,9 +153,7 @@ allf AS MATERIALIZED (
     )
 
 
-ALL_FEATURES = _all_features(features.FRACTIONAL_CUTOFF)
-# The default weights are longer than the bars before most events of the test tables.
-EVENT_CUTOFF = 1e-3
+ALL_FEATURES = all_features(features.FRACTIONAL_CUTOFF)
 PLAIN = ["imbalance", "cumulative_imbalance", "tick_rule"]
 ROUNDED = [c for c in features.FEATURES if c not in PLAIN]
 FEATURES_OUT = f"SELECT symbol, uid, {', '.join(PLAIN)}, {rounded(6, *ROUNDED)} FROM allf"
@@ -362,22 +360,6 @@ def price_at_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "features_at_events",
-    sql.ask(
-        sql.LABELS + _all_features(EVENT_CUTOFF).removeprefix(sql.RETURNS),
-        f"""SELECT l.symbol, l.t0, l.bin, {', '.join(f'f.{c}' for c in PLAIN)}, {rounded(6, *ROUNDED)}
-        FROM labelled l JOIN (SELECT * FROM allf WHERE {WHOLE_ROWS}) f ON f.symbol = l.symbol AND f.ts = l.t0""",
-    ),
-)
-def features_at_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _valued(spark, sf_dir)
-    made = features.clean_features(features.generate_features(frame, cutoff=EVENT_CUTOFF))
-    joined = labels.features_at_events(_labels(frame), made)
-    have = set(joined.columns)
-    return joined.select("symbol", "t0", "bin", *(c for c in PLAIN if c in have), *(r(c) for c in ROUNDED if c in have))
-
-
 @query(
     "sample_size_gates",
     sql.ask(

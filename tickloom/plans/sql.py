@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tickloom.sources.tables import HISTORY_SPAN
+
 TICKS = """
 ticks AS MATERIALIZED (
   SELECT event_type AS symbol, ts, event_id AS uid, value AS price,
@@ -22,6 +24,26 @@ walk AS MATERIALIZED (
   FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, uid))"""
 )
 
+# Order lines as years of bars; the columns of ``walk`` that features and labels read.
+LONG_WALK = f"""
+lines AS (
+  SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS day, 2 * (l_partkey % 100) - 99 AS step, l_quantity AS volume,
+         row_number() OVER (PARTITION BY l_returnflag || l_linestatus, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber) AS uid
+  FROM lineitem),
+moves AS (
+  SELECT symbol, uid, volume, CAST(day AS TIMESTAMP) + (uid - 1) * INTERVAL 1 MILLISECOND AS ts,
+         CAST(sum(step) OVER (PARTITION BY symbol ORDER BY day, uid) AS BIGINT) + {HISTORY_SPAN} AS moved FROM lines),
+walk AS MATERIALIZED (
+  SELECT symbol, ts, uid, volume, row_number() OVER (PARTITION BY symbol ORDER BY ts, uid) AS pos, count(*) OVER (PARTITION BY symbol) AS n,
+         ({HISTORY_SPAN} + abs(((moved % {4 * HISTORY_SPAN}) + {4 * HISTORY_SPAN}) % {4 * HISTORY_SPAN} - {2 * HISTORY_SPAN})) / 100.0::DOUBLE AS close
+  FROM moves)"""
+
+
+def on_history(ctes: str) -> str:
+    """Expressions that start with ``WALK``, over the long history instead."""
+    return LONG_WALK + ctes.removeprefix(WALK)
+
+
 RETURNS = (
     WALK
     + """,
