@@ -16,11 +16,20 @@ def frame():
 
 
 def test_small_table_needs_no_counting_job(spark, frame):
-    df = to_spark(spark, frame)
-    assert ordered.estimated_bytes(df) <= ordered.DEFAULT_BLOCK_ROWS * ordered.MIN_BYTES_PER_ROW
+    df = to_spark(spark, frame.head(100))
+    assert ordered.estimated_bytes(df) * ordered.ROWS_PER_BYTE <= ordered.DEFAULT_BLOCK_ROWS
     assert ordered.rows_to_split(df, KEYS) is None
 
 
+def test_a_hot_key_of_well_compressed_rows_is_noticed(spark, small_blocks, tmp_path):
+    """Far less than a byte a row."""
+    spark.range(200_000).select(F.lit("hot").alias("symbol"), F.lit(1.0).alias("price")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    small_blocks(100_000)
+    assert ordered.estimated_bytes(df) < 100_000 / 4
+    assert ordered.rows_to_split(df, KEYS) == 200_000
+
+
 def test_hot_key_is_noticed(spark, frame, small_blocks):
     small_blocks(100)
     df = to_spark(spark, frame)

@@ -23,7 +23,8 @@ from tickloom.session import reliable
 
 BLOCK_ROWS_KEY = "spark.tickloom.blockRows"
 DEFAULT_BLOCK_ROWS = 2_000_000
-MIN_BYTES_PER_ROW = 4
+# A file may hold many rows in a byte, such as runs of equal values; below this the groups are not counted.
+ROWS_PER_BYTE = 64
 # Rows of a few dozen bytes each: some ten megabytes per executor at most.
 BROADCAST_ROWS = 200_000
 
@@ -53,7 +54,7 @@ def rows_to_split(df: DataFrame, keys: Sequence[str]) -> int | None:
     """Number of rows if some key is too large for one task, else None."""
     limit = block_rows(df.sparkSession)
     # Too few bytes for any group to exceed the limit: no counting job needed.
-    if estimated_bytes(df) <= limit * MIN_BYTES_PER_ROW:
+    if estimated_bytes(df) * ROWS_PER_BYTE <= limit:
         return None
     largest, total = group_sizes(df, keys)
     return total if largest > limit else None

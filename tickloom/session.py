@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Spark's own defaults; operators on long texts use smaller batches in the session they share.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b",
     # Archives written from nanosecond indexes hold TIMESTAMP(NANOS) columns.
     "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
