@@ -37,8 +37,9 @@ def test_query_equals_its_sql(spark, monkeypatch, name):
     assert got[1]
 
 
-@pytest.mark.parametrize("name", ["train_primary", "oof_predictions", "score_signals", "tune_grid", "model_registry", "importance_mda"])
-def test_too_short_a_history(spark, name):
-    """The smallest tables leave no sample: typed results, nothing fitted."""
+@pytest.mark.parametrize("name", ["train_primary", "score_signals", "importance_mda"])
+def test_a_short_history(spark, monkeypatch, name):
+    """The smallest tables end before the longest feature begins: it is left out, and the rest is fitted."""
+    monkeypatch.setattr(modelling, "RECIPE", Recipe(settings=Settings(trees=1)))
     made = entry.queries()[name](spark, "/root/testdata/sf0.001")
-    assert made.columns and made.count() >= 0
+    assert made.columns and made.count() > 0
