@@ -38,8 +38,9 @@ def barrier_prices(price: Column, vol: Column, side: Column, pt: float, sl: floa
 
 
 def order_qty(value: Column, weight: Column, kelly: Column, price: Column) -> Column:
-    """Whole shares for the budget, never less than one."""
-    return F.greatest(F.lit(1), F.floor(value * weight * kelly / price)).cast("long")
+    """Whole shares for the budget, never less than one; null at a price of zero."""
+    shares = F.floor(F.try_divide(value * weight * kelly, price))
+    return F.when(price == 0, None).otherwise(F.greatest(F.lit(1), shares)).cast("long")
 
 
 def label_bin(ret: Column) -> Column:
