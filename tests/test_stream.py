@@ -110,3 +110,17 @@ def test_stream_orders_equal_batch_orders(spark, tmp_path):
     wanted = wanted[wanted["ts"] < eligible["ts"].max()]
     pd.testing.assert_frame_equal(got, wanted.reset_index(drop=True))
     assert got["qty"].max() > 1 and got["take_profit"].notna().sum() == (got["action"] == "buy").sum()
+
+
+def test_a_table_in_pieces_gives_the_bars_of_the_whole(spark, frame, monkeypatch):
+    """No trigger takes in more than a piece, and none loses a row to the watermark."""
+    monkeypatch.setattr(jobs, "PIECE_ROWS", 300)
+    df = spark.createDataFrame(frame).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    stream, arrivals = jobs.in_pieces(df)
+    assert len(arrivals.waiting) == 3
+    sizes = [spark.read.parquet(piece).count() for piece in arrivals.waiting]
+    assert sum(sizes) == len(frame) and max(sizes) < len(frame) / 2
+    stream, closing = jobs.with_closing(stream)
+    limits = thresholds(spark, 4000.0).union(spark.createDataFrame([(jobs.CLOSING_SYMBOL, 1e9)], "symbol string, threshold double"))
+    made = jobs.drain(jobs.stream_imbalance_bars(stream, limits, "10 minutes"), "t", spark, closing, arrivals)
+    pd.testing.assert_frame_equal(rows_of(made, "symbol", "ts"), batch_bars(spark, frame, 4000.0, pd.Timestamp("2199-01-01")))
