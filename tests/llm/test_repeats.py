@@ -141,3 +141,23 @@ def test_word_documents_equal_plain(spark, monkeypatch):
     got = [tuple(r) for r in phrases.cut_counts(docs).collect()]
     assert sorted(got) == sorted(plain_words(rows, 35))
     assert phrases.cut_counts(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rule", [phrases.WordWindows(12, 4), substrings.ByteStrings(20)])
+def test_short_texts_share_a_pass(rule, monkeypatch):
+    powers, made = names.Powers(), []
+    texts = [(t or "").encode() for _, t in texts_of(5)] + [b"", b"a " * 400, b" \n "]
+    alone = [
+        (i, *(int(run[c][j]) for c in ("full", "g", "at", "span", "spot")))
+        for i, t in enumerate(texts)
+        for run in repeats.runs_of(rule.values(t), rule, powers)
+        for j in range(len(run["at"]))
+    ]
+    plain = repeats.Named
+    monkeypatch.setattr(repeats, "Named", lambda *x: made.append(1) or plain(*x))
+    for together, passes in ((1 << 18, 1), (2000, len(texts)), (1, 2 * len(texts))):
+        monkeypatch.setattr(repeats, "TOGETHER", together)
+        made.clear()
+        runs = list(repeats.runs_of_all(texts, rule, powers))
+        got = [tuple(int(run[c][j]) for c in ("doc", "full", "g", "at", "span", "spot")) for run in runs for j in range(len(run["at"]))]
+        assert got == alone and 0 < len(made) <= passes

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tickloom.llm import names
 from tickloom.llm.common import released, written
 from tickloom.llm.names import TILE, Named, Powers, byte_values, mix
-from tickloom.llm.repeats import WINDOW, Sequence, remove_repeats, runs_of, with_identity
+from tickloom.llm.repeats import WINDOW, Sequence, remove_repeats, runs_of_all, with_identity
 
 SHARD_BYTES = 4_000_000
 SEED = [("name", "u8")]
@@ -37,13 +37,14 @@ SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First byte and byte after the last of every word."""
-    edges = np.diff(np.concatenate([[True], SPACE[np.frombuffer(text, np.uint8)], [True]]).view(np.int8))
-    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    space = np.concatenate([[True], SPACE[np.frombuffer(text, np.uint8)], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
 
 
-def word_names(text: bytes, table: np.ndarray, powers: Powers) -> np.ndarray:
+def word_names(text: bytes, table: np.ndarray, powers: Powers, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """A name for every word from its bytes, a tile of words at a time; a word longer than a tile is hashed whole."""
-    starts, ends = word_bounds(text)
+    starts, ends = bounds or word_bounds(text)
     raw, made, at = np.frombuffer(text, np.uint8), np.zeros(len(starts), np.uint64), 0
     while at < len(starts):
         lo = int(starts[at])
@@ -72,8 +73,16 @@ class WordWindows(Sequence):
             self.tables = byte_values(), Powers()
         return word_names(text, *self.tables)
 
+    def values_of_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if self.tables is None:
+            self.tables = byte_values(), Powers()
+        line = b" ".join(texts)
+        bounds = word_bounds(line)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        return word_names(line, *self.tables, bounds), np.searchsorted(bounds[0], begins)
+
     def size(self, text: bytes) -> int:
-        return len(word_bounds(text)[0])
+        return len(text.split())
 
     def kept(self, text: bytes, keep: np.ndarray) -> bytes:
         words = text.split()
@@ -87,13 +96,12 @@ def _seed_entries(rule: WordWindows, column: str):
     def entries(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
         if not powers:
             powers.append(Powers())
-        shards = batch.column("__shard").to_pylist()
-        for text, shard in zip(batch.column("__text").to_pylist(), shards):
-            for run in runs_of(rule.values(text or b""), rule, powers[0]):
-                name = run["full"]
-                zero = np.zeros(len(name), np.int64)
-                more = {"shard": zero + shard} if column == "shard" else {"id": zero, "tag": zero, "at": zero, "n": zero + 1}
-                yield {"name": name, "deal_by": name} | more
+        shard = np.asarray(batch.column("__shard"))
+        for run in runs_of_all([t or b"" for t in batch.column("__text").to_pylist()], rule, powers[0]):
+            name = run["full"]
+            zero = np.zeros(len(name), np.int64)
+            more = {"shard": shard[run["doc"]]} if column == "shard" else {"id": zero, "tag": zero, "at": zero, "n": zero + 1}
+            yield {"name": name, "deal_by": name} | more
 
     return entries
 
@@ -132,25 +140,34 @@ def located(texts: list[bytes | None], wanted: np.ndarray, rule: WordWindows, po
 
     ``wanted``: sorted names of the confirmed phrases that concern the shard; their words are taken from the texts.
     """
-    split = [(t or b"").split() for t in texts]
+    held = [t or b"" for t in texts]
     phrases: set[bytes] = set()
-    for text, words in zip(texts, split):
-        if len(words) < rule.window or not len(wanted):
-            continue
-        for run in runs_of(rule.values(text), rule, powers):
-            spot = np.minimum(np.searchsorted(wanted, run["full"]), len(wanted) - 1)
-            for at in run["spot"][wanted[spot] == run["full"]].tolist():
-                phrases.add(b" %b " % b" ".join(words[at : at + rule.seed]))
+    for run in runs_of_all(held, rule, powers) if len(wanted) else ():
+        spot = np.minimum(np.searchsorted(wanted, run["full"]), len(wanted) - 1)
+        rows = np.flatnonzero(wanted[spot] == run["full"])
+        # Equal names are equal phrases: one place of each is read.
+        rows = rows[np.unique(run["full"][rows], return_index=True)[1]]
+        doc, words = -1, []
+        for i in np.sort(rows).tolist():
+            if run["doc"][i] != doc:
+                doc = int(run["doc"][i])
+                words = held[doc].split()
+            at = int(run["spot"][i])
+            phrases.add(b" %b " % b" ".join(words[at : at + rule.seed]))
     if not phrases:
         return [b""] * len(texts)
     automaton, out = automaton_of(phrases), []
-    for words in split:
+    for text in held:
+        words = text.split()
         if len(words) < rule.window:
             out.append(b"")
             continue
         line = b" %b " % b" ".join(words)
         # A match begins at the space before its first word, and the n-th space stands before the n-th word.
         found = np.array([end - size + 1 for end, size in automaton.iter(line.decode("latin-1"))], np.int64)
+        if not len(found):
+            out.append(b"")
+            continue
         spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
         out.append(np.unique(np.searchsorted(spaces, found)).astype(np.uint32).tobytes())
     return out

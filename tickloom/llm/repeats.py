@@ -36,6 +36,7 @@ PLACE = [("g", "u8"), ("id", "i8"), ("tag", "u4"), ("at", "u4"), ("span", "u2")]
 WINDOW = [("name", "u8"), ("id", "i8"), ("tag", "u4"), ("at", "u4"), ("n", "u4")]
 WINDOW_RANK = [("name", "u8"), ("id", "i8"), ("tag", "u4"), ("at", "u4")]
 AGAIN, OPEN = 1, 2  # flags of a rank: the run recurs; its seed has other runs
+TOGETHER = 1 << 18  # bytes of short texts whose runs are found in one pass
 
 
 class Sequence:
@@ -49,6 +50,11 @@ class Sequence:
         """A random-looking value for each unit."""
         raise NotImplementedError
 
+    def values_of_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all texts one after the other, and where each text begins; the end comes last."""
+        parts = [self.values(t) for t in texts]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
     def size(self, text: bytes) -> int:
         raise NotImplementedError
 
@@ -67,20 +73,56 @@ def runs_of(values: np.ndarray, rule: Sequence, powers: Powers) -> Iterator[dict
     at = 0
     while at + rule.window <= len(values):
         named = Named(values[at : at + TILE], powers)
-        seeds = rule.seed_names(named)
-        low = np.uint64(20)
-        marked = (seeds >> low << low) | np.arange(len(seeds), dtype=np.uint64)
-        place = (names.least_of(marked, rule.window - rule.seed + 1) & np.uint64(TILE - 1)).astype(np.int64)
+        seeds, place = _places(named, rule)
         cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
-        first, last = cuts[:-1], cuts[1:] - 1
-        spot = place[first]
-        full = seeds[spot]
-        shape = ((spot - first) * 2048 + (last - first)).astype(np.uint64)
-        content = mix(named.at(first, last + rule.window) + mix(shape, 1), 2) + mix(full, 3)
-        yield {"full": full, "g": mix(content, 4), "at": first + at, "span": last - first, "spot": spot + at}
+        run = _described(named, rule, seeds, cuts[:-1], cuts[1:] - 1, place[cuts[:-1]])
+        yield run | {"at": run["at"] + at, "spot": run["spot"] + at}
         at += len(place)
 
 
+def _places(named: Named, rule: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all seeds, and the place of the seed of every window."""
+    seeds = rule.seed_names(named)
+    low = np.uint64(20)
+    marked = (seeds >> low << low) | np.arange(len(seeds), dtype=np.uint64)
+    return seeds, (names.least_of(marked, rule.window - rule.seed + 1) & np.uint64(TILE - 1)).astype(np.int64)
+
+
+def _described(named: Named, rule: Sequence, seeds: np.ndarray, first: np.ndarray, last: np.ndarray, spot: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs from their first and last windows and the places of their seeds."""
+    full = seeds[spot]
+    shape = ((spot - first) * 2048 + (last - first)).astype(np.uint64)
+    content = mix(named.at(first, last + rule.window) + mix(shape, 1), 2) + mix(full, 3)
+    return {"full": full, "g": mix(content, 4), "at": first, "span": last - first, "spot": spot}
+
+
+def runs_of_all(texts: list[bytes], rule: Sequence, powers: Powers) -> Iterator[dict[str, np.ndarray]]:
+    """``runs_of`` of all texts in their order, with ``doc``, the text's place in the list; short texts share a pass."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo + 1, len(texts[lo])
+        while hi < len(texts) and size + len(texts[hi]) <= min(TOGETHER, TILE):
+            size += len(texts[hi])
+            hi += 1
+        if hi - lo == 1:
+            for run in runs_of(rule.values(texts[lo]), rule, powers):
+                yield run | {"doc": np.full(len(run["at"]), lo)}
+        else:
+            values, bounds = rule.values_of_all(texts[lo:hi])
+            if len(values) >= rule.window:
+                named = Named(values, powers)
+                seeds, place = _places(named, rule)
+                # Windows of one text only. Their seeds are inside it, so no run goes from one text to the next.
+                inside = np.arange(len(place)) + rule.window <= np.repeat(bounds[1:], np.diff(bounds))[: len(place)]
+                window = np.flatnonzero(inside)
+                place = place[window]
+                cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if len(window) else np.zeros(1, np.int64)
+                run = _described(named, rule, seeds, window[cuts[:-1]], window[cuts[1:] - 1], place[cuts[:-1]])
+                doc = np.searchsorted(bounds, run["at"], side="right") - 1
+                yield run | {"at": run["at"] - bounds[doc], "spot": run["spot"] - bounds[doc], "doc": doc + lo}
+        lo = hi
+
+
 def with_identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``__rest`` (all columns but the text, and ``void``: it was null), ``__text`` bytes, and the order of documents, ``__id`` and ``__tag``."""
     rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
@@ -100,30 +142,27 @@ def column_places(docs: DataFrame) -> list[tuple[str, str]]:
     return [(f"c{i}", c) for i, c in enumerate(docs.columns)]
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, bytes | None]]:
-    spots = batch.column("__spots").to_pylist() if "__spots" in batch.schema.names else [None] * batch.num_rows
-    columns = (batch.column(n).to_pylist() for n in ("__id", "__tag", "__text"))
-    for doc, tag, text, allowed in zip(*columns, spots):
-        if text and (allowed is None or allowed):
-            yield doc, tag, text, allowed
-
-
 def _run_entries(rule: Sequence, columns: list[str]) -> Callable[[pa.RecordBatch], Iterator[dict[str, np.ndarray]]]:
     powers: list[Powers] = []
 
     def entries(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
         if not powers:
             powers.append(Powers())
-        for doc, tag, text, allowed in _each(batch):
-            for run in runs_of(rule.values(text), rule, powers[0]):
-                if allowed is not None:
-                    known = np.frombuffer(allowed, np.uint32)  # sorted
-                    near = np.minimum(np.searchsorted(known, run["spot"]), len(known) - 1)
-                    run = names.taken(run, np.flatnonzero(known[near] == run["spot"]))
-                n = len(run["at"])
-                run |= {"h": run["full"] & np.uint64(0xFFFFFFFF), "id": np.full(n, doc, np.int64), "tag": np.full(n, tag, np.int64)}
-                run |= {"n": np.ones(n, np.int64), "deal_by": run["full"]}
-                yield {c: run[c] for c in [*columns, "deal_by"]}
+        texts = batch.column("__text").to_pylist()
+        spots = batch.column("__spots").to_pylist() if "__spots" in batch.schema.names else None
+        rows = [i for i, text in enumerate(texts) if text and (spots is None or spots[i])]
+        doc, tag = (np.asarray(batch.column(n))[rows] for n in ("__id", "__tag"))
+        if spots is not None:
+            held = [np.frombuffer(spots[i], np.uint32).astype(np.int64) + (at << 32) for at, i in enumerate(rows)]  # sorted
+            known = np.concatenate(held) if held else np.zeros(0, np.int64)
+        for run in runs_of_all([texts[i] for i in rows], rule, powers[0]):
+            if spots is not None:
+                wanted = (run["doc"] << 32) + run["spot"]
+                near = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                run = names.taken(run, np.flatnonzero(known[near] == wanted))
+            run |= {"h": run["full"] & np.uint64(0xFFFFFFFF), "id": doc[run["doc"]], "tag": tag[run["doc"]]}
+            run |= {"n": np.ones(len(run["at"]), np.int64), "deal_by": run["full"]}
+            yield {c: run[c] for c in [*columns, "deal_by"]}
 
     return entries
 

@@ -34,6 +34,9 @@ class ByteStrings(Sequence):
     def values(self, text: bytes) -> np.ndarray:
         return self.table[np.frombuffer(text, np.uint8)]
 
+    def values_of_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return self.values(b"".join(texts)), np.cumsum([0, *map(len, texts)])
+
     def size(self, text: bytes) -> int:
         return len(text)
 
