@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tickloom.llm import nearcopies
+from tickloom.llm import nearcopies, simhash
 from tickloom.llm.common import read_table
 
 
@@ -99,3 +99,25 @@ def test_clashing_columns(spark):
     got = nearcopies.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+
+
+def test_simhash_deals_candidates_before_minhash(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+    texts = {i: " ".join([*base[:-i], *(f"e{i}x{k}" for k in range(i))] if i else base) for i in range(4)}
+    texts |= {9: " ".join(f"o{i}" for i in range(300)), 10: None, 11: ""}
+    held = {i: nearcopies.shingles((t or "").encode()) for i, t in texts.items()}
+    prints = {i: simhash.majority(s) for i, s in held.items()}
+    close = [(i, j) for i in range(4) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.MAX_BITS]
+    assert len(close) == 6 and prints[10] == 0
+    keyed = spark.createDataFrame([(i, i, (t or "").encode()) for i, t in texts.items()], "id long, tag long, text binary")
+    sets = nearcopies.signed(keyed).checkpoint()
+    assert {r.id: r["print"] & (1 << 64) - 1 for r in sets.collect()} == prints
+    names = {r.fp: r.id for r in sets.collect()}
+    pairs = [{names[r.u], names[r.v]} for r in nearcopies.print_pairs(sets).collect()]
+    assert len(pairs) >= 3 and set.union(*pairs) == {0, 1, 2, 3}
+    # SimHash alone joins these where no band is left to meet in.
+    empty = spark.createDataFrame([], "fp long, band long")
+    monkeypatch.setattr(nearcopies, "banded", lambda _: empty)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.one_of_each(docs).collect()) == [0, 9, 10]

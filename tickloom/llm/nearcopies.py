@@ -1,10 +1,13 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` least values. A pair of similarity s shares a band with
+Candidates come from SimHash first, as in operator 7: 64-bit fingerprints of the shingle sets, dealt by chains of segments, that differ in
+at most ``simhash.MAX_BITS`` bits. Most pairs at 0.8 differ in more (README has the share), so the rest
+come from MinHash: ``BANDS`` bands of ``ROWS`` least values. A pair of similarity s shares a band with
 probability 1 - (1 - s^5)^30: all but 7 in a million at 0.8, fewer above. A link is a pair whose whole sets were compared and are
 at least ``SIMILARITY`` alike; only links are closed to groups.
 
-* First every member of a band is compared with the band's least member. That joins up true groups of any size.
+* Sets of linked fingerprints are compared, each fingerprint's least set with the others of it and with those next to it.
+* Then every member of a band is compared with the band's least member, if it was not yet. That joins up true groups of any size.
 * Bands that still hold several groups are cut into blocks of about ``MEMBERS``; each pair of blocks meets in one task, where
   members of different groups are compared by their signatures. Those with a pair whose estimate reaches ``LEAST_ESTIMATE`` (a pair at
   a true 0.8 misses it 2 times in a million) meet there once more with their texts; such pairs are compared as whole sets, unless
@@ -24,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import batches, written
+from tickloom.llm import simhash
+from tickloom.llm.common import batches, released, written
 from tickloom.llm.components import components
 
 SHINGLE = 5
@@ -79,15 +83,27 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
 
 
 def signed(keyed: DataFrame) -> DataFrame:
-    """``id, tag, fp, sig`` of ``keyed(id, tag, text)``: ``fp`` names the shingle set (0 for none)."""
+    """``id, tag, fp, print, sig`` of ``keyed(id, tag, text)``: ``fp`` names the shingle set (0 for none), ``print`` is its SimHash."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
         names = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64)
-        columns = [batch.column("id"), batch.column("tag"), pa.array(names.view(np.int64)), pa.array([signature(s) for s in sets], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "tag", "fp", "sig"])
+        prints = np.array([simhash.majority(s) for s in sets], np.uint64)
+        columns = [batch.column("id"), batch.column("tag"), pa.array(names.view(np.int64)), pa.array(prints.view(np.int64))]
+        columns.append(pa.array([signature(s) for s in sets], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["id", "tag", "fp", "print", "sig"])
 
-    return batches(keyed, step, "id long, tag long, fp long, sig binary")
+    return batches(keyed, step, "id long, tag long, fp long, print long, sig binary")
+
+
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """``u, v``: candidates of ``sets(fp, print)`` by SimHash. Equal fingerprints meet their least set, linked ones by their least sets."""
+    prints = written(sets.where("fp != 0").groupBy("print").agg(F.min("fp").alias("hub")), "near-prints")
+    own = sets.where("fp != 0").select("fp", "print").join(prints, "print").where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+    found = simhash.links(prints.select(F.col("print").alias("fp"))).distinct()
+    one, other = (prints.select(F.col("print").alias(c), F.col("hub").alias(f"hub_{c}")) for c in ("u", "v"))
+    linked = found.join(one, "u").join(other, "v").select(F.greatest("hub_u", "hub_v").alias("u"), F.least("hub_u", "hub_v").alias("v"))
+    return own.union(linked).distinct()
 
 
 def banded(sets: DataFrame) -> DataFrame:
@@ -236,12 +252,16 @@ def _in_blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """``u, v``: links that connect all similar sets of ``sets(fp, id, tag, many, sig)``, whose texts are in ``docs(id, tag, text)``."""
+    """``u, v``: links that connect all similar sets of ``sets(fp, id, tag, many, print, sig)``, whose texts are in ``docs(id, tag, text)``."""
+    prints = written(print_pairs(sets), "near-print-pairs")
+    released(sets.sparkSession)
+    close = written(similar_pairs(prints, sets, docs), "near-print-links")
     spread = written(banded(sets), "near-bands")
     shared = written(spread.groupBy("band").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub != last"), "near-shared")
     members = written(spread.join(shared.select("band", "hub"), "band"), "near-members")
-    tried = written(members.where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "near-stars")
-    stars = written(similar_pairs(tried, sets, docs), "near-links")
+    met = members.where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    tried = written(met.join(prints, ["u", "v"], "left_anti"), "near-stars")
+    stars = close.union(written(similar_pairs(tried, sets, docs), "near-links"))
     roots = components(stars)
     named = members.join(roots, members["fp"] == roots["node"], "left").select("band", "fp", F.coalesce("root", "fp").alias("label"))
     open_bands = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
@@ -268,8 +288,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = keyed.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(b""))))
     texts = keyed.select("id", "tag", "text")
     slim = written(signed(texts), "near-signatures")
-    rows = slim.groupBy("fp", "id", "tag").agg(F.count("*").alias("n"), F.min("sig").alias("sig"))
-    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag", (F.col("n") > 1).alias("many"), "sig")).alias("lead")
+    rows = slim.groupBy("fp", "id", "tag").agg(F.count("*").alias("n"), F.min("print").alias("print"), F.min("sig").alias("sig"))
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag", (F.col("n") > 1).alias("many"), "print", "sig")).alias("lead")
     sets = written(rows.groupBy("fp").agg(lead).select("fp", "lead.*"), "near-sets")
     roots = components(links(sets, texts))
     grouped = sets.join(roots, sets["fp"] == roots["node"], "left").withColumn("group", F.coalesce("root", "fp"))

@@ -47,9 +47,14 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
         starts = [0, *(e + 1 for e in ends)]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], 42) for s, e in zip(starts, ends[size - 1 :])]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[lo : lo + (1 << 14)], dtype="<u8")
+        part = hashes[lo : lo + (1 << 14)].astype("<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
