@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import reliable
+from tickloom.session import checkpointed as reliable
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
