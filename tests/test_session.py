@@ -4,8 +4,9 @@ import os
 import time
 
 from tickloom import session
-from tickloom.operators import ordered
+from tickloom.operators import ordered, pipeline
 from tickloom.session import collect_unused, reliable
+from tickloom.sources import tables
 
 
 def test_estimates_of_written_frames_do_not_multiply(spark):
@@ -38,3 +39,14 @@ def test_files_go_when_no_frame_reads_them(spark):
         time.sleep(0.5)
     assert not os.path.exists(gone) and os.path.exists(kept)
     assert derived.count() == 15
+
+
+def test_the_feature_frame_is_written_once(spark, monkeypatch, small_blocks):
+    """Also of symbols too large for one task, whose runs hold the columns of the bars only."""
+    written, rewritten = [], session.rewritten
+    monkeypatch.setattr(session, "rewritten", lambda df, label: (written.append(df.columns), rewritten(df, label))[1])
+    small_blocks(500)
+    frame = pipeline.feature_frame(tables.bars_history(spark, "/root/testdata/sf0.001"))
+    assert frame.count() > 0
+    assert sum("entropy" in columns for columns in written) == 1
+    assert not any("l_orderkey" in columns for columns in written)
